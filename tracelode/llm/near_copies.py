@@ -117,7 +117,19 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return count, small, large
 
 
-_SKETCH = "id bigint, digest binary, n int, kind int, sketch binary"
+_SKETCH = "id bigint, digest binary, n int, kind int, sketch binary, tag binary"
+
+
+def _tags(m: np.ndarray) -> np.ndarray:
+    """Four bits of each bin, packed: two sketches differ in at least as many bins as their tags in half bytes."""
+    low = ((m ^ (m >> 4) ^ (m >> 8) ^ (m >> 12)) & 15).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << 4)
+
+
+def _rows(m: np.ndarray) -> pa.Array:
+    width = m.shape[1] * m.itemsize
+    flat = m.tobytes()
+    return pa.array([flat[i : i + width] for i in range(0, len(flat), width)], pa.binary())
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,27 +141,29 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, values, which in ((0, small, n <= SMALL), (1, large, n >= OVERLAP)):
             at = np.flatnonzero(which)
             if len(at):
-                rows = values[at].tobytes()
-                width = 4 * BINS
+                m = values[at].astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at], pa.int64()), pa.array([digest[i] for i in at], pa.binary()), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int32)), pa.array([rows[i * width : (i + 1) * width] for i in range(len(at))], pa.binary())],
-                    names=["id", "digest", "n", "kind", "sketch"],
+                    [pa.array(ids[at], pa.int64()), pa.array([digest[i] for i in at], pa.binary()), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), kind, np.int32)), _rows(m), _rows(_tags(m))],
+                    names=["id", "digest", "n", "kind", "sketch", "tag"],
                 )
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
 
 
 def _bin_rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A histogram of each bin's values, in 256 cells."""
     total = np.zeros((BINS, 256), np.int64)
     for batch in batches:
-        m = (_matrix(batch.column(0)) & np.uint32(255)).astype(np.int64)
+        m = (_matrix(batch.column(0)) & 255).astype(np.int64)
         total += np.bincount((m + 256 * np.arange(BINS)).ravel(), minlength=256 * BINS).reshape(BINS, 256)
     yield pa.RecordBatch.from_arrays([pa.array([0] * BINS, pa.int32()), pa.array(range(BINS), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["t", "part", "cells"])
 
 
+BASE_KEY = U64(0xD6E8FEB86659FD93)
+
+
 def _variant_keys(m: np.ndarray, bins: tuple[int, ...], t: int, kind: np.ndarray, salt: int) -> Iterator[np.ndarray]:
     """Keys of a partition that two sketches share if and (but for collisions) only if they differ in at most t of its
     bins: one for each choice of t bins that are left out."""
@@ -161,9 +175,6 @@ def _variant_keys(m: np.ndarray, bins: tuple[int, ...], t: int, kind: np.ndarray
             yield mix(left + U64(1 + salt * 64 + sum(1 << i for i in out)) * BASE_KEY + kind.astype(U64))
 
 
-BASE_KEY = U64(0xD6E8FEB86659FD93)
-
-
 def _forecast(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
     """Histograms of the keys of every partition at thresholds 0, 1 and 2."""
     total = np.zeros((len(layout), 3, CELLS), np.int64)
@@ -206,28 +217,50 @@ def allocated(cost: dict[tuple[int, int], float], parts: int, tau: int = TAU) ->
     return best[tau + 1][1]
 
 
+#: Bits of a key within its bucket. A false meeting of two keys costs one comparison of tags and nothing else.
+LOW_BITS = 24
+#: Ratio of the steps in which shingle counts are kept, in one byte.
+STEP = 1.05
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The bytes of integers by significance, so that the exchange's compression removes the empty ones."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    out = []
+    for blob in column.to_pylist():
+        wide = np.zeros((len(blob) // width, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+        out.append(wide.view("<i8").ravel())
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 def _probes(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each bucket of keys one packed row: the keys' low halves, the ids and the shingle counts."""
+    """For each bucket of keys one packed row: the keys' low bits, the ids and the steps of the shingle counts."""
     for batch in batches:
-        ids, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
+        ids, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        step = (np.log(np.maximum(n, 1)) / np.log(STEP)).astype(np.int64)
         kind, m = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
         keys = np.concatenate([k for i, (bins, t) in enumerate(zip(layout, thresholds)) if t >= 0 for k in _variant_keys(m, bins, t, kind, i)])
         rows = np.tile(np.arange(len(ids), dtype=np.int32), len(keys) // max(1, len(ids)))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, rows = keys[order], rows[order]
-        bucket = (keys >> U64(32)).astype(np.int64) * buckets >> 32
+        bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
         at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
         parts = list(zip(at[:-1], at[1:]))
-        low, own, size = keys.astype(np.uint32), ids[rows].astype(np.int64), n[rows]
+        low, own, size = (keys & U64((1 << LOW_BITS) - 1)).astype(np.int64), ids[rows].astype(np.int64), step[rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[[a for a, _ in parts]].astype(np.int32))] + [pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (low, own, size)], names=["bucket", "low", "ids", "sizes"]
+            [pa.array(bucket[[a for a, _ in parts]].astype(np.int32))] + [pa.array([_planes(x[a:b], w) for a, b in parts], pa.binary()) for x, w in ((low, LOW_BITS // 8), (own, 8), (size, 2))], names=["bucket", "low", "ids", "sizes"]
         )
 
 
-def _pairs(batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-    low, ids, size = (np.frombuffer(b"".join(batches.column(c).to_pylist()), kind) for c, kind in (("low", np.uint32), ("ids", np.int64), ("sizes", np.int32)))
+def _pairs(table: pa.Table) -> pa.Table:
+    low, ids, size = (_unplaned(table.column(c), w) for c, w in (("low", LOW_BITS // 8), ("ids", 8), ("sizes", 2)))
     order = np.lexsort((ids, low))
     low, ids, size = low[order], ids[order], size[order]
+    apart = math.log(1 / 0.8) / math.log(STEP) + 1
     a, b = [], []
     step = 1
     at = np.arange(len(low))
@@ -235,7 +268,7 @@ def _pairs(batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
         at = at[at + step < len(low)]
         at = at[low[at] == low[at + step]]  # the rows whose run still reaches `step` rows further
         left, right = at, at + step
-        ok = (ids[left] != ids[right]) & (np.minimum(size[left], size[right]) >= 0.8 * np.maximum(size[left], size[right]) - 1e-9)
+        ok = (ids[left] != ids[right]) & (np.abs(size[left] - size[right]) <= apart)
         a.append(ids[left[ok]])
         b.append(ids[right[ok]])
         step += 1
@@ -245,7 +278,9 @@ def _pairs(batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
 
 def _close(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1) <= tau
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS // 2) for i in (2, 3))
+        unlike = x ^ y
+        near = ((unlike & 15) != 0).sum(axis=1) + ((unlike >> 4) != 0).sum(axis=1) <= tau
         yield batch.select([0, 1]).filter(pa.array(near))
 
 
@@ -268,7 +303,7 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     texts = texts.where(F.col("text").isNotNull()).select("id", "text")
     made = cut(texts.mapInArrow(_sketch, _SKETCH))
     members = made.select("id", "digest").join(made.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep", "digest").distinct()
-    reps = cut(made.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "n", "sketch"), "id").alias("x")).select(F.col("x.id").alias("id"), F.col("x.n").alias("n"), "kind", F.col("x.sketch").alias("sketch")))
+    reps = cut(made.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "n", "sketch", "tag"), "id").alias("x")).select("x.id", "x.n", "kind", "x.sketch", "x.tag"))
     rates = {r["part"]: r["pairs"] for r in reps.select("sketch").mapInArrow(_bin_rates, "t int, part int, cells binary").groupBy("t", "part").applyInArrow(_add, "t int, part int, pairs double, keys bigint").collect()}
     rates = {b: rates.get(b, 0.0) for b in range(BINS)}
     layout = grouped_bins(rates)
@@ -285,11 +320,11 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
         .applyInArrow(_pairs, "a bigint, b bigint")
         .distinct()
     )
-    side = reps.select("id", "kind", "sketch")
+    side = reps.select("id", "kind", "tag")
     near = (
-        candidates.join(side.select(F.col("id").alias("a"), "kind", F.col("sketch").alias("sketch_a")), "a")
-        .join(side.select(F.col("id").alias("b"), "kind", F.col("sketch").alias("sketch_b")), ["b", "kind"])
-        .select("a", "b", "sketch_a", "sketch_b")
+        candidates.join(side.select(F.col("id").alias("a"), "kind", F.col("tag").alias("tag_a")), "a")
+        .join(side.select(F.col("id").alias("b"), "kind", F.col("tag").alias("tag_b")), ["b", "kind"])
+        .select("a", "b", "tag_a", "tag_b")
         .mapInArrow(partial(_close, tau=TAU), "a bigint, b bigint")
         .distinct()
     )

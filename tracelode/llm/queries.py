@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import near_copies, pieces, tokens
+from tracelode.llm import credentials, near_copies, pieces, tokens
 from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,23 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(counts, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(credentials.fields(table(spark, d, "chunks"), table(spark, d, "files")))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text and reason with its credentials blanked."""
+    return credentials.redact(credentials.fields(table(spark, d, "chunks"), table(spark, d, "files")))
+
+
+def p3_withheld(spark: SparkSession, d: str) -> DataFrame:
+    """For each file the credentials found in its chunks, against what an older check counted."""
+    found = credentials.redact(table(spark, d, "chunks").select(F.lit("chunks.text").alias("field"), F.col("path").alias("rec"), "text").distinct())
+    counts = found.groupBy(F.col("rec").alias("path")).agg(F.sum("withheld").alias("found"))
+    files = table(spark, d, "files").select("path", "withheld").distinct()
+    return files.join(counts, "path", "left").select("path", "withheld", F.coalesce("found", F.lit(0)).alias("found"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.section_starts(table(spark, d, "chunks"))
 
@@ -46,7 +63,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_pieces, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p7_ids, p7_decoded)}
 
 
 def oracle_sql() -> dict[str, str]:
