@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import credentials, near_copies, pieces, tokens
+from tracelode.llm import credentials, looks, near_copies, pieces, tokens
 from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,24 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "chunks"))
 
 
+def _two_fields(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    return [
+        ("chunks.text", table(spark, d, "chunks").select("id", "text")),
+        ("retained-unicode.text", table(spark, d, "retained_unicode").select(F.col("record_id").alias("id"), "text")),
+    ]
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    (a, x), (b, y) = _two_fields(spark, d)
+    return looks.look_alike_pairs(x).select(F.lit(a).alias("field"), "*").unionByName(looks.look_alike_pairs(y).select(F.lit(b).alias("field"), "*"))
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of both tables in its consistent form."""
+    (a, x), (b, y) = _two_fields(spark, d)
+    return looks.forms(x).select(F.lit(a).alias("field"), "*").unionByName(looks.forms(y).select(F.lit(b).alias("field"), "*"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -63,7 +81,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p7_decoded)}
 
 
 def oracle_sql() -> dict[str, str]:
