@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm.arrays import U64, bundles, gram_hashes, mix, points
+from tracelode.llm.sieve import sieved
 from tracelode.tables import cut
 
 SHINGLE = 8
@@ -329,7 +330,8 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
         .distinct()
     )
     near = cut(near)
-    one = texts.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    one = sieved(texts, wanted).join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"))
     links = (
         near.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
