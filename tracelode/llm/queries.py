@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import credentials, looks, near_copies, pieces, tokens
+from tracelode.llm import credentials, looks, near_copies, neighbours, pieces, tokens
 from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,15 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return looks.forms(x).select(F.lit(a).alias("field"), "*").unionByName(looks.forms(y).select(F.lit(b).alias("field"), "*"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "vectors"))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest, however far, of every id divisible by 100, at a recall of 0.95."""
+    return neighbours.neighbour_ids(table(spark, d, "vectors"), recall=0.95, every=100)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -81,7 +90,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded)}
 
 
 def oracle_sql() -> dict[str, str]:
