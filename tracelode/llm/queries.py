@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import credentials, looks, near_copies, neighbours, pieces, tokens
+from tracelode.llm import credentials, looks, near_copies, neighbours, pieces, shared_spans, tokens
 from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,29 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(counts, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.records(table(spark, d, "answers"), table(spark, d, "sources"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = shared_spans.merged(shared_spans.shared(_records(spark, d)))
+    return spans.select(shared_spans.named("rec").alias("rec"), F.col("first").cast("bigint").alias("span_start"), F.col("last").cast("bigint").alias("span_end"))
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For each record with a text: how many of its characters stand in another record, and one place for each span."""
+    spans = shared_spans.shared(_records(spark, d))
+    covered = shared_spans.merged(spans).groupBy("rec").agg(F.sum(F.col("last") - F.col("first")).alias("shared_chars"), F.count("*").alias("spans"))
+    lengths = _records(spark, d).where("text is not null").groupBy("rec").agg(F.length(F.min("text")).alias("chars"))
+    return lengths.join(covered, "rec", "left").select(shared_spans.named("rec").alias("rec"), "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("spans", F.lit(0)).alias("spans"))
+
+
+def p2_origins(spark: SparkSession, d: str) -> DataFrame:
+    """For each answer the sources that passages of it stand in word for word, cited or not."""
+    spans = shared_spans.shared(_records(spark, d)).where("rec % 2 = 0 and other % 2 = 1")
+    return spans.select(shared_spans.named("rec").alias("rec"), F.col("first").alias("span_start"), F.col("last").alias("span_end"), shared_spans.named("other").alias("origin"), F.col("other_first").alias("origin_start")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.credential_lines(credentials.fields(table(spark, d, "chunks"), table(spark, d, "files")))
 
@@ -90,7 +113,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded)}
 
 
 def oracle_sql() -> dict[str, str]:
