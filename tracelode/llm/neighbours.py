@@ -4,7 +4,9 @@ The tree is fitted on a bounded sample (SAMPLE vectors, the least by hash) and e
 leaf that its own traversal reaches first. A traversal keeps a priority queue of tree nodes by distance and opens the
 nearest one next; it is done for a whole batch at once. How many leaves are visited is calibrated: exact neighbours of
 PROBES vectors against all vectors are found by brute force, and visits are widened until the wanted share of those
-neighbours lies in visited leaves. Vectors meet in their leaves in one exchange; each pair met counts for both sides.
+neighbours lies in visited leaves. Vectors meet in their leaves in one exchange, as bytes; each pair met counts for both
+sides, and the calibration counts a pair as met where either side visits the other's leaf. The best met are then ranked
+by their exact cosines.
 
 Equal vectors are folded before and unfolded after; leaves are split by the sample's density, so a dense region gets
 more of them.
@@ -29,7 +31,7 @@ from tracelode.tables import cut
 
 DIMENSIONS = 64
 SAMPLE, PROBES = 32_768, 1_024
-BRANCHES, LEAF_VECTORS = 16, 256
+BRANCHES, LEAF_VECTORS = 16, 512
 BATCH = 2_000
 
 
@@ -69,7 +71,7 @@ def fitted(x: np.ndarray, most: int, branches: int = BRANCHES, seed: int = 7) ->
         node, rows = todo.pop(0)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         if len(rows) > most:
-            c, label = _means(x[rows], min(branches, len(rows)), rng)
+            c, label = _means(x[rows], max(2, min(branches, -(-len(rows) // most))), rng)
             if len(c) > 1:
                 parts = [(c[i], rows[label == i]) for i in range(len(c)) if (label == i).any()]
         if not parts:
@@ -147,8 +149,25 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, BATCH)
 
 
+#: What rounding to bytes can change in a cosine: 64 products, each off by less than the square of a byte's step.
+ROUNDING = 0.01
+
+
+def _bytes(x: np.ndarray) -> list[bytes]:
+    """A scale (float32) and one byte for each element of a unit vector."""
+    scale = np.abs(x).max(axis=1).astype(np.float32) / np.float32(127)
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale, codes)]
+
+
+def _from_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 + DIMENSIONS)
+    scale = np.ascontiguousarray(flat[:, :4]).view(np.float32)
+    return np.ascontiguousarray(flat[:, 4:]).view(np.int8).astype(np.float32) * scale
+
+
 def _placed(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, every: int) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, id, member, asks, vec) for the leaf that a vector is indexed in and those that it asks."""
+    """Rows (leaf, id, member, asks, code) for the leaf that a vector is indexed in and those that it asks."""
     for batch in _batched(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         x = _units(batch.column(1)).astype(np.float32)
@@ -158,7 +177,8 @@ def _placed(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, every: int
             if chosen.any():
                 leaves[chosen, :n] = visits(tree, x[chosen], n)
         row, place = np.nonzero(leaves >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(leaves[row, place].astype(np.int32)), pa.array(ids[row], pa.int64()), pa.array(place == 0), pa.array(asks[row]), batch.column(1).take(pa.array(row))], names=["leaf", "id", "member", "asks", "vec"])
+        codes = pa.array(_bytes(x), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(leaves[row, place].astype(np.int32)), pa.array(ids[row], pa.int64()), pa.array(place == 0), pa.array(asks[row]), codes.take(pa.array(row))], names=["leaf", "id", "member", "asks", "code"])
 
 
 def _best(cos: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,32 +198,37 @@ def _meet(table: pa.Table, k: int, floor: float, both: bool) -> pa.Table:
     """Within a leaf: the best members of each row that asks, and where every row asks, the best askers of each member."""
     ids = table.column("id").to_numpy()
     member, asks = (np.array(table.column(c).to_pylist(), bool) for c in ("member", "asks"))
-    x = _units(table.column("vec").combine_chunks())
+    x = _from_bytes(table.column("code"))
     own, out = np.flatnonzero(member), []
     if len(own):
         for begin in range(0, len(ids), BATCH):
             rows = begin + np.flatnonzero(asks[begin : begin + BATCH])
             for at in range(0, len(own), 4 * BATCH):
                 columns = own[at : at + 4 * BATCH]
-                cos = np.minimum(x[rows] @ x[columns].T, 1.0)
+                cos = x[rows] @ x[columns].T
                 out.append(_best(cos, ids[rows], ids[columns], k, floor))
                 if both:
                     out.append(_best(cos.T, ids[columns], ids[rows], k, floor))
     a, b, c = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64()), "cos": pa.array(np.round(c, 12), pa.float64())})
+    return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64()), "cos": pa.array(c.astype(np.float64))})
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cos = np.minimum((_units(batch.column(2)) * _units(batch.column(3))).sum(axis=1), 1.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(cos, 12))], names=["x", "y", "cos"])
 
 
-def _brute(batches: Iterator[pa.RecordBatch], probes: tuple[np.ndarray, np.ndarray], tree: Tree, k: int, floor: float) -> Iterator[pa.RecordBatch]:
-    """A batch's best neighbours of every probe, with the leaves that they are indexed in."""
+def _brute(batches: Iterator[pa.RecordBatch], probes: tuple[np.ndarray, np.ndarray], k: int, floor: float) -> Iterator[pa.RecordBatch]:
+    """A batch's best neighbours of every probe, with their vectors."""
     ids, q = probes
     for batch in batches:
         own = batch.column(0).to_numpy(zero_copy_only=False)
         x = _units(batch.column(1)).astype(np.float32)
         a, b, c = _best(q @ x.T, ids, own, k, floor)
-        at = np.searchsorted(own, b, sorter=(order := np.argsort(own)))
-        rows, back = np.unique(order[at], return_inverse=True)
-        leaf = np.concatenate([visits(tree, x[rows[i : i + BATCH]], 1)[:, 0] for i in range(0, len(rows), BATCH)] or [np.empty(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c.astype(np.float64)), pa.array(leaf[back].astype(np.int32))], names=["x", "y", "cos", "leaf"])
+        order = np.argsort(own)
+        at = order[np.searchsorted(own, b, sorter=order)]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c.astype(np.float64)), batch.column(1).take(pa.array(at))], names=["x", "y", "cos", "vec"])
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
@@ -219,12 +244,17 @@ def calibrated(vectors: DataFrame, tree: Tree, k: int, floor: float, recall: flo
         return 1, 1.0
     ids = np.array([r["id"] for r in chosen], np.int64)
     q = _units(pa.array([bytes(r["vec"]) for r in chosen], pa.binary())).astype(np.float32)
-    near = _top(vectors.mapInArrow(partial(_brute, probes=(ids, q), tree=tree, k=k, floor=floor), "x bigint, y bigint, cos double, leaf int"), k).select("x", "leaf").collect()
+    near = _top(vectors.mapInArrow(partial(_brute, probes=(ids, q), k=k, floor=floor), "x bigint, y bigint, cos double, vec binary"), k).select("x", "vec").collect()
     if not near:
         return min(4, tree.leaves), 1.0
     where = {int(i): n for n, i in enumerate(ids)}
-    order = visits(tree, q, tree.leaves)
-    ranks = np.sort([int(np.flatnonzero(order[where[r["x"]]] == r["leaf"])[0]) for r in near])
+    mine = np.array([where[r["x"]] for r in near])
+    theirs = _units(pa.array([bytes(r["vec"]) for r in near], pa.binary())).astype(np.float32)
+    there = visits(tree, theirs, tree.leaves if every == 1 else 1)
+    ranks = (visits(tree, q, tree.leaves)[mine] == there[:, :1]).argmax(axis=1)
+    if every == 1:
+        ranks = np.minimum(ranks, (there == visits(tree, q, 1)[mine]).argmax(axis=1))
+    ranks.sort()
     for most in range(1, tree.leaves + 1):
         share = np.searchsorted(ranks, most) / len(ranks)
         if share >= recall:
@@ -251,13 +281,17 @@ def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, recall: flo
     plain = reps.select("id", "vec")
     most, _ = calibrated(plain, tree, k, floor, recall, every)
     # one more than calibrated: the probes' own recall is measured on a sample
-    placed = plain.mapInArrow(partial(_placed, tree=tree, most=min(most + 1, tree.leaves), every=every), "leaf int, id bigint, member boolean, asks boolean, vec binary")
+    placed = plain.mapInArrow(partial(_placed, tree=tree, most=min(most + 1, tree.leaves), every=every), "leaf int, id bigint, member boolean, asks boolean, code binary")
 
     def meet(table: pa.Table) -> pa.Table:
-        return _meet(table, k, floor, every == 1)
+        return _meet(table, 2 * k, floor - ROUNDING, every == 1)
 
     met = placed.groupBy("leaf").applyInArrow(meet, "x bigint, y bigint, cos double").groupBy("x", "y").agg(F.max("cos").alias("cos"))
-    return _top(met, k).select("x", "y", "cos"), members
+    # the leaf's cosines are of rounded vectors: twice as many are kept, then ranked exactly
+    best = _top(met, 2 * k).select("x", "y")
+    pairs = best.join(plain.select(F.col("id").alias("x"), F.col("vec").alias("vec_x")), "x").join(plain.select(F.col("id").alias("y"), F.col("vec").alias("vec_y")), "y")
+    exact = pairs.select("x", "y", "vec_x", "vec_y").mapInArrow(_exact, "x bigint, y bigint, cos double").where(F.col("cos") >= floor)
+    return _top(exact, k).select("x", "y", "cos"), members
 
 
 def neighbour_ids(vectors: DataFrame, k: int = 10, floor: float = -1.0, recall: float = 0.99, every: int = 1) -> DataFrame:
