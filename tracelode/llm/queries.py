@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import credentials, looks, near_copies, neighbours, pieces, shared_spans, tokens
+from tracelode.llm import credentials, looks, near_copies, neighbours, pieces, sentences, shared_spans, tokens
 from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,8 +112,17 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("documents"), F.count_if(F.coalesce("text", F.lit("")) != F.col("back")).alias("changed"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_ends(table(spark, d, "documents"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence with its text."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded, p9_found, p9_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
