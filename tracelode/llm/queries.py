@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import credentials, looks, near_copies, neighbours, pieces, sentences, shared_spans, tokens
+from tracelode.llm import credentials, leaks, looks, near_copies, neighbours, pieces, sentences, shared_spans, tokens
 from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,15 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("documents"), F.count_if(F.coalesce("text", F.lit("")) != F.col("back")).alias("changed"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Also reordered and partly changed passages, with how much of the item's they hold."""
+    return leaks.matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, d, "documents"))
 
@@ -122,7 +131,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded, p9_found, p9_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded, p8_found, p8_matches, p9_found, p9_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
