@@ -6,10 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{M}\p{N}_]+"
-#: Scripts written without spaces, as Java and RE2 both name them.
-UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
-CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
-NFC_SENSITIVE = r"[^\x00-˿]"
+CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
 def col(c: Column | str) -> Column:
@@ -30,11 +27,11 @@ def token_estimate(text: Column | str) -> Column:
 
 def normalized(text: Column | str) -> Column:
     """Lower case, each run of white space one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(col(text)), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(F.lower(col(text)), r"\s+", " "), "^ | $", "")
 
 
 def one_line(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(text), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(col(text), r"\s+", " "), "^ | $", "")
 
 
 def sanitized(text: Column | str) -> Column:
@@ -52,8 +49,9 @@ def lines(text: Column | str) -> Column:
 
 def shingles(text: Column | str, n: int = 8) -> Column:
     """The set of n-character substrings of the normalised text; a shorter text is its own only one."""
-    t = F.replace(normalized(text), F.lit("ß"), F.lit("ss"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substr(t, i, F.lit(n))))
+    # the text is bound once by the outer lambda, else every substring would normalise it again
+    bound = F.array(F.replace(normalized(text), F.lit("ß"), F.lit("ss")))
+    return F.get(F.transform(bound, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substr(t, i, F.lit(n))))), 0)
 
 
 def alike(a: Column, b: Column, threshold: float = 0.8) -> Column:

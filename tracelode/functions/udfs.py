@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 _UNSPACED = regex.compile(r"[\p{scx=Han}\p{scx=Hiragana}\p{scx=Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
@@ -44,17 +45,17 @@ def folded(text: str) -> str:
     return t.replace("đ", "d").replace("Đ", "D")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def words(text: pd.Series) -> pd.Series:
     return text.map(words_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else folded(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -1,0 +1,142 @@
+"""Paragraphs, packing and located chunks."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracelode.functions.text import lines
+from tracelode.operators import privacy
+
+MAX_CHARS, MAX_BLOCK = 1500, 6000
+
+
+def paragraphs(documents: DataFrame) -> DataFrame:
+    """(doc_id, first_line, last_line, chars, head) of each stretch of lines that are not blank."""
+    rows = documents.where("text is not null").select("doc_id", F.posexplode(lines("text")).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("n"), "line")
+    blank = F.col("line").rlike(r"^[ \t]*$")
+    filled = rows.where(~blank).withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy("doc_id").orderBy("n")))
+    return filled.groupBy("doc_id", "island").agg(F.min("n").alias("first_line"), F.max("n").alias("last_line"), (F.sum(F.length("line")) + F.count("*") - 1).cast("bigint").alias("chars"), F.min_by("line", "n").alias("head")).drop("island")
+
+
+def block_kind(line: str) -> Column:
+    c = F.col(line)
+    return F.when(c.rlike(r"^ {0,3}#{1,6}[ \t]"), "heading").when(c.rlike("^ *(```|~~~)"), "fence").when(c.rlike(r"^ *\|"), "table").when(c.rlike(r"^ *([-*+•]|[0-9]+[.)])[ \t]"), "list").otherwise("text")
+
+
+def packed_lines(documents: DataFrame, most: int) -> DataFrame:
+    """(doc_id, chunk, first_line, last_line, chars): lines joined while they fit; a longer line stands alone."""
+    start = F.array().cast("array<struct<first:bigint,last:bigint,chars:bigint>>")
+    sized = F.transform(lines("text"), lambda x, i: F.struct((i + 1).cast("bigint").alias("n"), F.length(x).cast("bigint").alias("size")))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits = (F.size(acc) > 0) & (last["chars"] + 1 + x["size"] <= most)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), x["n"].alias("last"), (last["chars"] + 1 + x["size"]).alias("chars"))))
+        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(x["n"].alias("first"), x["n"].alias("last"), x["size"].alias("chars")))))
+
+    packed = documents.where("text is not null").select("doc_id", F.posexplode(F.aggregate(sized, start, step)).alias("i", "c"))
+    return packed.select("doc_id", (F.col("i") + 1).cast("bigint").alias("chunk"), F.col("c.first").alias("first_line"), F.col("c.last").alias("last_line"), F.col("c.chars").alias("chars"))
+
+
+_HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s+")
+
+
+def _blocks(text: str) -> Iterator[tuple[str, int, int, str, bool]]:
+    """(section, first line, last line, text, whether it is a heading) of paragraphs; a fence is one paragraph."""
+    rows = [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
+    stack: list[str] = []
+    held: list[str] = []
+    first, fence = 1, None
+    for n, line in enumerate([*rows, ""], 1):
+        if fence is None and (m := _FENCE.match(line)) and n <= len(rows):
+            if held:
+                yield " > ".join(filter(None, stack)), first, n - 1, "\n".join(held), False
+            held, first, fence = [line], n, m[1]
+            continue
+        if fence is not None:
+            held.append(line)
+            m = _FENCE.match(line)
+            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip(" `~") or n > len(rows):
+                if n > len(rows):
+                    held.pop()
+                yield " > ".join(filter(None, stack)), first, min(n, len(rows)), "\n".join(held), False
+                held, fence = [], None
+            continue
+        heading = _HEADING.match(line)
+        if (heading or not line.strip()) and held:
+            yield " > ".join(filter(None, stack)), first, n - 1, "\n".join(held), False
+            held = []
+        if heading:
+            level = len(heading[1])
+            stack = [*stack[: level - 1], *[""] * (level - 1 - len(stack)), heading[2]]
+            yield " > ".join(filter(None, stack)), n, n, line, True
+        elif line.strip():
+            if not held:
+                first = n
+            held.append(line)
+
+
+def _cut_line(line: str, most: int) -> list[str]:
+    """Pieces of one over-long line: after the last sentence end in the second half, else a blank, else hard."""
+    out = []
+    while len(line) > most:
+        ends = [m.end() for m in _END.finditer(line, 0, most) if m.end() > most // 2]
+        at = ends[-1] if ends else line.rfind(" ", 1, most) + 1 or most
+        out.append(line[:at])
+        line = line[at:]
+    return [*out, line] if line else out
+
+
+def _parts(text: str, first: int, most: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of a paragraph that is too long: cut at lines, over-long lines within."""
+    rows = text.split("\n")
+    if len(text) <= MAX_BLOCK and re.match(r" *(?:```|~~~|\||[-*+•][ \t]|\d+[.)][ \t])", rows[0]) and len(rows) > 1:
+        return [(first, first + len(rows) - 1, text)]
+    out: list[tuple[int, int, str]] = []
+    for n, row in enumerate(rows, first):
+        for piece in _cut_line(row, most) or [""]:
+            if out and out[-1][1] < n and len(out[-1][2]) + 1 + len(piece) <= most:
+                out[-1] = (out[-1][0], n, f"{out[-1][2]}\n{piece}")
+            else:
+                out.append((n, n, piece))
+    return [x for x in out if x[2].strip()]
+
+
+def located_chunks(text: str, keep: Callable[[str], bool] = lambda _: True, most: int = MAX_CHARS) -> list[tuple[str, int, int, str]]:
+    """(section, first line, last line, text): paragraphs packed up to `most` characters, never over a section or over
+    a paragraph that is not kept."""
+    out: list[tuple[str, int, int, str]] = []
+    open_ = False
+    for section, first, last, body, _ in _blocks(text):
+        if not keep(body) or not keep(section):
+            open_ = False
+            continue
+        for a, b, piece in [(first, last, body)] if len(body) <= most else _parts(body, first, most):
+            if open_ and out[-1][0] == section and len(out[-1][3]) + 2 + len(piece) <= most:
+                out[-1] = (section, out[-1][1], b, f"{out[-1][3]}\n\n{piece}")
+            else:
+                out.append((section, a, b, piece))
+            open_ = True
+    return out
+
+
+def _chunk(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    for batch in batches:
+        rows = []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows += [(i, n, *c) for n, c in enumerate(located_chunks(text, lambda t: not privacy.find_secrets(t), most))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "ordinal", "section", "start", "end", "text"])
+
+
+def chunks(texts: DataFrame, most: int = MAX_CHARS) -> DataFrame:
+    """(id, ordinal, section, start, end, text) of (id, text)."""
+    return texts.select("id", "text").where("length(text) > 0").mapInArrow(partial(_chunk, most=most), "id bigint, ordinal int, section string, `start` int, `end` int, text string")

@@ -53,9 +53,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int, same: bool = True) -
     return top(reduce(DataFrame.unionByName, parts), n)
 
 
-def hashed_vector(tokens: str = "tokens", size: int = 256) -> F.Column:
-    """A built-in embedder that needs no model: counts of words by the last byte of their MD5, at unit length."""
-    places = F.transform(F.col(tokens), lambda w: F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
+def hashed_vectors(tokens: DataFrame, key: str = "id", size: int = 256) -> DataFrame:
+    """(key, vec) by a built-in embedder that needs no model: counts of words by the last byte of their MD5, at unit
+    length; a text without words has no vector."""
+    place = F.conv(F.substring(F.md5("term"), 31, 2), 16, 10).cast("int")
+    counts = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, place.alias("place")).agg(F.count("*").cast("double").alias("n"))
+    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    return maps.select(key, filled.alias("vec"))

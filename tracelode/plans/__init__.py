@@ -1 +1,2 @@
 
+"""The catalog is filled by importing its modules."""

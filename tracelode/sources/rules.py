@@ -1,0 +1,51 @@
+"""Which paths may be read: ordered glob rules, of which the last that matches decides, and names never to be opened."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# File and folder names that hold credentials.
+DENIED = r"(?i)(^|/)(\.ssh|\.aws|\.env|\.env\..*|[^/]*\.env|[^/]*\.pem|[^/]*\.key|id_rsa[^/]*|credentials(\.[^/]*)?|secrets\.[^/]*)(/|$)"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A glob and what it does: * and ? stay within a part, ** goes across, a final / means folders alone, a slash at
+    the start or within ties the pattern to `base`."""
+
+    glob: str
+    include: bool
+    base: str = ""
+
+    @property
+    def pattern(self) -> str:
+        glob = self.glob.removesuffix("/")
+        anchored = glob.startswith("/")
+        out, i, glob = "", 0, glob.removeprefix("/")
+        while i < len(glob):
+            if glob.startswith("**/", i):
+                out, i = out + "([^/]*/)*", i + 3
+            elif glob.startswith("**", i):
+                out, i = out + ".*", i + 2
+            elif glob[i] in "*?":
+                out, i = out + ("[^/]*" if glob[i] == "*" else "[^/]"), i + 1
+            else:
+                out, i = out + re.escape(glob[i]), i + 1
+        start = re.escape(self.base.rstrip("/")) + "/" if anchored or self.base else "(.*/)?"
+        return f"^{start}{out}{'/.*' if self.glob.endswith('/') else '(/.*)?'}$"
+
+
+def decide(path: Column, rules: list[Rule], default: bool = False) -> Column:
+    """The verdict of the last rule that matches a path."""
+    out = F.lit(default)
+    for rule in rules:
+        out = F.when(path.rlike(rule.pattern), F.lit(rule.include)).otherwise(out)
+    return out
+
+
+def denied(path: Column) -> Column:
+    return path.rlike(DENIED)
