@@ -314,7 +314,7 @@ def fields(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def credential_lines(texts: DataFrame) -> DataFrame:
-    return texts.where("length(text) > 0").mapInArrow(_find, "field string, rec string, line_no bigint").distinct()
+    return texts.where("length(text) > 0").select("field", "rec", "text").mapInArrow(_find, "field string, rec string, line_no bigint").distinct()
 
 
 def redact(texts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ answer tokens (its numbers and names).
 Items are taken in blocks of at most ITEMS, each with its own pass, so what is sent to the executors is bounded: at
 most ITEMS passages' terms, vectors of RANK numbers for each, and one table of 4 x 2^21 bytes.
 
-Defined cases: null and empty texts and items below 60 letters and digits match nothing; repeated rows count once; an
+Defined cases: null and empty texts, null ids, and items below 60 letters and digits match nothing; repeated rows count once; an
 item text under several ids matches for each. Extra columns are not read.
 """
 
@@ -373,14 +373,14 @@ def _compared(batches: Iterator[pa.RecordBatch], index: Index, items: dict[int,
 
 def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
     """The items, repeated rows once, in blocks of ITEMS."""
-    rows = sorted((r["item_id"], r["text"]) for r in items.where("length(text) > 0").select("item_id", "text").distinct().toLocalIterator())
+    rows = sorted((r["item_id"], r["text"]) for r in items.where("length(text) > 0 and item_id is not null").select("item_id", "text").distinct().toLocalIterator())
     return [rows[i : i + ITEMS] for i in range(0, len(rows), ITEMS)]
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) with a common run of RUN letters and digits."""
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").where("length(text) > 0")
+    texts = documents.select("doc_id", "text").where("length(text) > 0 and doc_id is not null")
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint")
     for block in item_blocks(items):
         index = built(block, texts)
@@ -393,7 +393,7 @@ def matches(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, run, subsequence, answers, cosine): pairs with a common run, and those whose passages are
     alike without one: reordered, or partly put in other words."""
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").where("length(text) > 0").distinct()
+    texts = documents.select("doc_id", "text").where("length(text) > 0 and doc_id is not null").distinct()
     kind = "doc_id bigint, item_id bigint, run boolean, subsequence double, answers double, cosine double"
     out = spark.createDataFrame([], kind)
     for block in item_blocks(items):

@@ -8,7 +8,7 @@ in each worker. The strings are then rebuilt in order; combining marks are order
 Case, other or missing accents, raised and lowered digits, enclosed and vertical forms, line breaks and tabs stay as
 they are, so texts that look different stay different.
 
-Defined cases: a null text stays null and is in no pair; empty texts are equal, not alike; texts of invisible characters
+Defined cases: a null text stays null, and neither it nor a null id is in a pair; empty texts are equal, not alike; texts of invisible characters
 only look like the empty text; repeated rows count once. Extra columns are not read.
 """
 
@@ -140,7 +140,7 @@ def forms(texts: DataFrame) -> DataFrame:
 def look_alike_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of different ids whose texts look the same and are not equal. Equal texts are
     folded before the join, so a group of copies is never joined with itself."""
-    rows = texts.where("text is not null").select("id", "text").mapInArrow(_digests, "id bigint, look binary, exact binary")
+    rows = texts.where("text is not null and id is not null").select("id", "text").mapInArrow(_digests, "id bigint, look binary, exact binary")
     alike = rows.groupBy("look", "exact").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1").select("look")
     few = rows.join(alike, "look", "left_semi").distinct()
     kinds = few.select("look", "exact").distinct()

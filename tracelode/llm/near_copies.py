@@ -10,7 +10,7 @@ and at last against the exact shingle sets, so every pair that comes out is righ
 
 Equal texts are folded before and unfolded after, so a group of copies costs one sketch.
 
-Defined cases: a null text has no row; an empty or blank text has the empty string as its only shingle, so all of them
+Defined cases: a null text or id has no row; an empty or blank text has the empty string as its only shingle, so all of them
 are equal; a text below SHINGLE characters is its own only shingle; repeated rows of an id count once; of an id with
 several texts, the last check reads the least. Extra columns are not read.
 """
@@ -301,7 +301,7 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     if threshold < 0.8:
         raise ValueError("the sketches are made for a similarity of 0.8 or more")
     spark = texts.sparkSession
-    texts = texts.where(F.col("text").isNotNull()).select("id", "text")
+    texts = texts.where("id is not null and text is not null").select("id", "text")
     made = cut(texts.mapInArrow(_sketch, _SKETCH))
     members = made.select("id", "digest").join(made.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep", "digest").distinct()
     reps = cut(made.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "n", "sketch", "tag"), "id").alias("x")).select("x.id", "x.n", "kind", "x.sketch", "x.tag"))

@@ -6,7 +6,7 @@ greedily into pieces of at most `limit` characters. A piece after the first of i
 characters before the end of the one before, at the earliest boundary there, so consecutive pieces overlap; no overlap
 reaches back over a heading. Pieces are verbatim spans of the text.
 
-Defined cases: null texts and texts within the limit have no pieces here; blank stretches belong to the piece before
+Defined cases: null ids, null texts and texts within the limit have no pieces here; blank stretches belong to the piece before
 them; repeated rows count once; a missing `start` counts as 1; a null path is not Markdown. Extra columns are not read.
 """
 
@@ -132,7 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterato
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    return chunks.where(F.length("text") > limit).select("id", "section", "unit", "start", "text", F.coalesce(F.col("path").endswith(".md"), F.lit(False)).alias("md")).distinct()
+    return chunks.where((F.length("text") > limit) & F.col("id").isNotNull()).select("id", "section", "unit", "start", "text", F.coalesce(F.col("path").endswith(".md"), F.lit(False)).alias("md")).distinct()
 
 
 def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

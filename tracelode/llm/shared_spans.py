@@ -12,7 +12,7 @@ last every span is held against the text of the record that it is shared with, b
 Every exchange is an aggregate (counts, least and greatest place) or a join of occurrences with such an aggregate, whose
 keys are unique: a passage that a third of all records have is never collected.
 
-Defined cases: null texts and texts below `span` characters have no spans; a passage repeated within one record alone
+Defined cases: null texts, null keys and texts below `span` characters have no spans; a passage repeated within one record alone
 is not shared; repeated rows count once, of several texts under one key the least is taken; touching or overlapping
 spans are one. Extra columns are not read.
 """
@@ -124,7 +124,7 @@ def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """Of (rec bigint, text): verified stretches (rec, first, last, other, other_first), of at least `span` characters,
     that stand word for word in the record `other`; stretches may overlap."""
     k = span // 2
-    texts = texts.where(F.length("text") >= span).groupBy("rec").agg(F.min("text").alias("text"))
+    texts = texts.where((F.length("text") >= span) & F.col("rec").isNotNull()).groupBy("rec").agg(F.min("text").alias("text"))
     texts = cut(texts)
     all_anchors = cut(texts.mapInArrow(partial(_anchored, span=span), _ANCHORS))
     nodes = all_anchors.groupBy("node").agg(F.count("*").alias("n"), F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("node", "n")
