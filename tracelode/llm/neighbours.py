@@ -31,7 +31,9 @@ from tracelode.tables import cut
 
 DIMENSIONS = 64
 SAMPLE, PROBES = 32_768, 1_024
-BRANCHES, LEAF_VECTORS = 16, 512
+BRANCHES = 16
+#: Vectors in a leaf at least.
+LEAF_VECTORS = 512
 BATCH = 2_000
 
 
@@ -277,7 +279,9 @@ def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, recall: flo
     n = reps.count()
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
     x = _units(pa.array([bytes(r["vec"]) for r in sample], pa.binary())).astype(np.float32) if sample else np.zeros((0, DIMENSIONS), np.float32)
-    tree = fitted(x, max(8, len(x) * LEAF_VECTORS // max(1, n)))
+    # leaves grow with the root of the collection, so that neither visits nor a leaf grow with the whole of it
+    leaf = max(LEAF_VECTORS, int(1.4 * n**0.5))
+    tree = fitted(x, max(8, len(x) * leaf // max(1, n)))
     plain = reps.select("id", "vec")
     most, _ = calibrated(plain, tree, k, floor, recall, every)
     # one more than calibrated: the probes' own recall is measured on a sample
