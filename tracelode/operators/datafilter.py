@@ -22,7 +22,8 @@ def features(texts: DataFrame) -> DataFrame:
     of characters in lines of six words or more, of lines with the most frequent time-stamp-like start, of lines in the
     best delimiter's modal count, of JSON-like, digit-led and address lines; characters in all."""
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    rows = texts.where("text is not null").select("id", F.posexplode(F.filter(F.transform(lines("text"), strip), lambda x: x != "")).alias("n", "line"), F.size(F.filter(lines("text"), lambda x: strip(x) != "")).alias("total"))
+    kept_lines = texts.where("text is not null").select("id", F.filter(F.transform(lines("text"), strip), lambda x: x != "").alias("l"))
+    rows = kept_lines.select("id", F.size("l").alias("total"), F.posexplode("l").alias("n", "line"))
     middle = F.floor(F.col("total") / 2)
     kept = (F.col("total") <= WHOLE) | (F.col("n") < PART) | (F.col("n") >= F.col("total") - PART) | F.col("n").between(middle - PART // 2, middle + PART // 2 - 1)
     rows = rows.where(kept)
@@ -35,11 +36,6 @@ def features(texts: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("line", r"\s", "")).alias("dense"), F.length(F.regexp_replace("line", r"[^\p{L}\p{M}]", "")).alias("letters"), words.alias("words"), F.length("line").alias("size"),
     )
 
-    def most(column: str) -> DataFrame:
-        """The largest count of one value of a column, ties to the first seen."""
-        counts = rows.where(F.col(column).isNotNull()).groupBy("id", column).agg(F.count("*").alias("times"))
-        return counts.groupBy("id").agg(F.max("times").alias(f"most_{column}"))
-
     share = lambda c: F.avg(c.cast("double"))
     out = rows.groupBy("id").agg(
         F.count("*").alias("lines"),
@@ -50,10 +46,14 @@ def features(texts: DataFrame) -> DataFrame:
         share(F.col("line").rlike(r"^(https?://\S+|\S+@\S+\.\S+)$")).alias("addresses"),
         share(F.col("line").rlike(r'^[\[{"].*[\]},:]$')).alias("json"),
     )
-    for column in ("stamp", *(f"by_{d}" for d, _ in delimited)):
-        out = out.join(most(column), "id", "left")
-    best = F.greatest(*(F.coalesce(F.col(f"most_by_{d}"), F.lit(0)) for d, _ in delimited))
-    return out.select("id", "lines", "chars", "letters", "long", "digit_led", "addresses", "json", (F.coalesce("most_stamp", F.lit(0)) / F.col("lines")).alias("stamps"), (best / F.col("lines")).alias("fields"))
+    # the largest count of one value of each kind: one more pass over the lines, aggregated before it is exchanged
+    kinds = ["stamp", *(f"by_{d}" for d, _ in delimited)]
+    values = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds))
+    counts = rows.select("id", F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v")).groupBy("id", "v.kind", "v.value").agg(F.count("*").alias("times"))
+    most = counts.groupBy("id").agg(F.max(F.when(F.col("kind") == "stamp", F.col("times"))).alias("stamp"), F.max(F.when(F.col("kind") != "stamp", F.col("times"))).alias("fields"))
+    out = out.join(most, "id", "left")
+    portion = lambda c: (F.coalesce(c, F.lit(0)) / F.col("lines"))
+    return out.select("id", "lines", "chars", "letters", "long", "digit_led", "addresses", "json", portion(F.col("stamp")).alias("stamps"), portion(F.col("fields")).alias("fields"))
 
 
 def reason() -> Column:

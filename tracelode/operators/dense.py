@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators.lexical import terms
 from tracelode.operators.ranking import top
 
 #: Queries in one block; a block is sent to every task, so its size does not grow with the data.
@@ -56,8 +57,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int, same: bool = True) -
 def hashed_vectors(tokens: DataFrame, key: str = "id", size: int = 256) -> DataFrame:
     """(key, vec) by a built-in embedder that needs no model: counts of words by the last byte of their MD5, at unit
     length; a text without words has no vector."""
-    place = F.conv(F.substring(F.md5("term"), 31, 2), 16, 10).cast("int")
-    counts = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, place.alias("place")).agg(F.count("*").cast("double").alias("n"))
-    maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
-    return maps.select(key, filled.alias("vec"))
+    digit = lambda i: F.expr(f"locate(substring(m, {i}, 1), '0123456789abcdef') - 1")
+    rows = terms(tokens, key).groupBy(key, "term").agg(F.count("*").alias("n")).select(key, "n", F.md5("term").alias("m"))
+    counts = rows.groupBy(key, (digit(31) * 16 + digit(32)).alias("place")).agg(F.sum("n").cast("double").alias("n"))
+    lists = counts.groupBy(key).agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("values"))
+
+    def scattered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            x = np.zeros((len(batch), size))
+            x[row, batch.column(1).flatten().to_numpy(zero_copy_only=False)] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            ends = pa.array(np.arange(0, size * len(batch) + 1, size, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[key, "vec"])
+
+    return lists.mapInArrow(scattered, f"{key} bigint, vec array<double>")

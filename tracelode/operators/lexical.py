@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.tables import cut
+
 K1, B = 1.5, 0.75
 
 
+def terms(tokens: DataFrame, key: str = "id") -> DataFrame:
+    """(key, dl, term) of every occurrence. The outer form of explode keeps the optimizer from testing for empty arrays
+    first, which would cut every text into words a second time."""
+    dl = F.greatest(F.lit(1), F.size("tokens")).alias("dl")
+    return tokens.select(key, dl, F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     """(id, term, tf, dl) of (id, tokens). A text without words has the length of one placeholder word and no posting."""
-    dl = F.greatest(F.lit(1), F.size("tokens")).alias("dl")
-    return tokens.select("id", dl, F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return terms(tokens).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def statistics(tokens: DataFrame) -> DataFrame:
@@ -28,11 +36,11 @@ def term_score(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) ->
 def scores(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, score) of all documents with a query term; queries are (qid, tokens), repeated words count again.
 
-    Only postings of query terms leave the scan: document frequencies are counted on them alone. The two figures of the
-    collection are one row."""
-    asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    Only postings of query terms leave the scan; they are written once, and document frequencies are counted on them
+    alone. The two figures of the collection are one row."""
+    asked = terms(queries, "qid").groupBy("qid", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    hits = postings(tokens).join(wanted, "term", "left_semi")
+    hits = cut(postings(tokens).join(wanted, "term", "left_semi"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = statistics(tokens)
     scored = hits.join(df, "term").join(F.broadcast(stats)).select("id", "term", term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part"))

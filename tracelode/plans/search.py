@@ -11,18 +11,18 @@ from tracelode.functions import text as T
 from tracelode.operators import dense, lexical, ranking
 from tracelode.plans.catalog import query
 from tracelode.plans.text import W_TEXT, WORDS
-from tracelode.tables import cut, table
+from tracelode.tables import cut, spread, table
 
 ASKED, DEPTH = 8, 100
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.words("text").alias("tokens"))
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", T.words("text").alias("tokens"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").where("id % 100 = 0 and text is not null").groupBy("id").agg(F.min("text").alias("text"))
-    return rows.select(F.col("id").alias("qid"), F.slice(T.words("text"), 1, ASKED).alias("tokens")).where(F.size("tokens") > 0)
+    return rows.select(F.col("id").alias("qid"), F.slice(T.words("text"), 1, ASKED).alias("tokens")).where(F.col("text").rlike(T.WORD))
 
 
 def lexical_scores(spark: SparkSession, d: str) -> DataFrame:

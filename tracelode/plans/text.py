@@ -9,7 +9,7 @@ from tracelode.functions import text as T
 from tracelode.functions import udfs
 from tracelode.operators import chunking, datafilter
 from tracelode.plans.catalog import query
-from tracelode.tables import table
+from tracelode.tables import spread, table
 
 WORDS = r"coalesce(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+'), [])"
 W_TEXT = WORDS.format("text")
@@ -18,7 +18,7 @@ LINES = r"""(SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 @query(f"SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(len(list_distinct(w)) AS BIGINT) AS kinds, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {W_TEXT} AS w FROM documents)")

@@ -35,3 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows on more tasks, where a scan has fewer than half as many as there are cores: one small file is one
+    task. On inputs of many files this does nothing. For scans alone, before costly work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
