@@ -8,12 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode import tables
 from tracelode.llm import credentials, leaks, looks, near_copies, neighbours, pieces, sentences, shared_spans, tokens
-from tracelode.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The whole table, on as many tasks as there are cores even if it is one small file."""
+    return tables.spread(tables.table(spark, d, name))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copy_pairs(table(spark, d, "chunks"))
 
