@@ -27,16 +27,32 @@ def run_measures(run: DataFrame, judged: DataFrame) -> DataFrame:
 def auroc(scored: DataFrame) -> DataFrame:
     """One row: the chance that a positive scores above a negative, ties counting half; of (score, positive).
 
-    By counts of each score and running sums over the distinct scores, so no single rank window over all rows."""
+    By counts of each score, running sums within a thousand ranges of scores, and those of the ranges before: no window
+    holds all rows."""
     by_score = scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = by_score.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    span = scored.agg(F.min("score").alias("lo"), F.greatest(F.max("score") - F.min("score"), F.lit(1e-9)).alias("width"))
+    ranged = by_score.join(F.broadcast(span)).withColumn("range", F.floor(1000 * (F.col("score") - F.col("lo")) / F.col("width")))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("before")
+    sums = ranged.join(before, "range").withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.round(F.col("wins") / (F.col("p") * F.col("n")), 6).alias("auroc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
-def pick(seed: Column, i: Column, n: Column) -> Column:
-    """A reproducible choice of 0 … n − 1, by MD5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint") % n
+def chance(*parts: Column) -> Column:
+    """A reproducible number in 0 … 1 for these values, by MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+
+
+#: Cumulative chances of 0 to 5 events at a mean of one.
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406)
+
+
+def resample_weight(seed: Column, unit: Column) -> Column:
+    """How often a unit is drawn in a resample: Poisson of mean one, which needs no numbering of the units."""
+    u = chance(seed, unit)
+    return sum((u >= p).cast("int") for p in POISSON[1:]) + (u >= POISSON[0]).cast("int")
 
 
 def exact_interval(successes: int, trials: int, level: float = 0.95) -> tuple[float, float]:

@@ -9,7 +9,20 @@ from pyspark.sql import functions as F
 def turns(answers: DataFrame) -> DataFrame:
     """Answers once each, numbered within their session by time."""
     rows = answers.dropDuplicates(["answer_id"])
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy("session_id").orderBy("asked_at", "answer_id")))
+    return running(rows, "session_id", ["asked_at", "answer_id"], F.lit(1), "turn", F.to_date("asked_at"))
+
+
+def running(rows: DataFrame, key: str, order: list[str], value: Column, name: str, block: Column) -> DataFrame:
+    """Running sums of a value along `order` within each key, in two steps: within blocks of the order, and over the
+    sums of the blocks before. A session that holds a third of all rows is spread over its blocks. `block` must rise
+    with the order."""
+    marked = rows.withColumns({"_block": block, "_value": value})
+    earlier = Window.partitionBy(key).orderBy(F.asc_nulls_first("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(key, "_block").agg(F.sum("_value").alias("_sum"))
+    before = sums.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = F.sum("_value").over(Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = marked.withColumn("_within", within).join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_value", "_key", "_of", "_before", "_within")
 
 
 def cumulative_sets(rows: DataFrame, key: str, order: str, values: str) -> DataFrame:

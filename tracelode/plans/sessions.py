@@ -75,15 +75,18 @@ def cumulative_scope(spark, d):
 @query(f"""WITH {TURNS}, b AS (SELECT session_id, turn, sum(coalesce(length(text), 0)) OVER (PARTITION BY session_id ORDER BY turn DESC) AS tail FROM t) SELECT session_id, count(*) FILTER (WHERE tail <= 5000) AS kept, count(*) FILTER (WHERE tail > 5000) AS trimmed FROM b GROUP BY session_id""")
 def trim_to_budget(spark, d):
     """The latest turns that fit into 5,000 characters."""
-    tail = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("session_id").orderBy(F.desc("turn")))
-    return _turns(spark, d).withColumn("tail", tail).groupBy("session_id").agg(F.count_if(F.col("tail") <= 5000).alias("kept"), F.count_if(F.col("tail") > 5000).alias("trimmed"))
+    chars = F.coalesce(F.length("text"), F.lit(0))
+    rows = _turns(spark, d)
+    upto = sessions.running(rows, "session_id", ["turn"], chars, "upto", F.to_date("asked_at"))
+    total = rows.groupBy("session_id").agg(F.sum(chars).alias("total"))
+    return upto.join(total, "session_id").withColumn("tail", F.col("total") - F.col("upto") + chars).groupBy("session_id").agg(F.count_if(F.col("tail") <= 5000).alias("kept"), F.count_if(F.col("tail") > 5000).alias("trimmed"))
 
 
 @query(f"""WITH {TURNS}, b AS (SELECT session_id, turn, sum(coalesce(length(text), 0)) OVER (PARTITION BY session_id ORDER BY turn) AS freed FROM t) SELECT session_id, min(turn) FILTER (WHERE freed >= 1000) AS turns_to_free FROM b GROUP BY session_id""")
 def turns_to_free(spark, d):
     """The fewest oldest turns that free 1,000 characters."""
-    freed = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("session_id").orderBy("turn"))
-    return _turns(spark, d).withColumn("freed", freed).groupBy("session_id").agg(F.min(F.when(F.col("freed") >= 1000, F.col("turn"))).cast("bigint").alias("turns_to_free"))
+    freed = sessions.running(_turns(spark, d), "session_id", ["turn"], F.coalesce(F.length("text"), F.lit(0)), "freed", F.to_date("asked_at"))
+    return freed.groupBy("session_id").agg(F.min(F.when(F.col("freed") >= 1000, F.col("turn"))).cast("bigint").alias("turns_to_free"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT answer_id, list_sort(list(length(text))) AS sizes FROM (SELECT DISTINCT answer_id, source_key, text FROM sources WHERE text IS NOT NULL) GROUP BY answer_id),

@@ -236,17 +236,18 @@ def answerability(spark, d):
     return search.lexical_scores(spark, d).join(judged(spark, d), ["qid", "id"], "left_anti").groupBy("qid").agg(F.max("score").alias("best_without"))
 
 
-@query("""WITH u AS (SELECT user_id, value FROM events), n AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS k, avg_v FROM (SELECT user_id, avg(value) AS avg_v FROM u GROUP BY user_id)), c AS (SELECT count(*) AS n FROM n),
-r AS (SELECT b, CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 8) AS BIGINT) % c.n AS pick FROM range(200) t(b), n, c),
-m AS (SELECT b, avg(avg_v) AS mean FROM r JOIN n ON n.k = r.pick GROUP BY b) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS resamples FROM m""")
+CHANCE = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"""WITH u AS (SELECT user_id, avg(value) AS v FROM events GROUP BY user_id), r AS (SELECT b, v, {CHANCE.format("CAST(b AS VARCHAR) || ':' || CAST(user_id AS VARCHAR)")} AS c FROM range(200) t(b), u),
+w AS (SELECT b, v, {" + ".join(f"CAST(c >= {p} AS INT)" for p in measures.POISSON)} AS w FROM r), m AS (SELECT b, sum(w * v) / sum(w) AS mean FROM w GROUP BY b)
+SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS resamples FROM m""")
 def bootstrap_interval(spark, d):
-    """A bootstrap of users' means: 200 reproducible resamples."""
+    """A bootstrap of users' means: 200 reproducible resamples, each one aggregate."""
     users = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"))
-    numbered = users.withColumn("k", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("bigint"))
-    n = users.agg(F.count("*").alias("n"))
-    draws = numbered.select("k").join(F.broadcast(n)).select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b"))
-    picked = draws.select("b", measures.pick(F.col("b"), F.col("k"), F.col("n")).alias("k")).join(numbered, "k").groupBy("b").agg(F.avg("v").alias("mean"))
-    return picked.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"), F.count("*").alias("resamples"))
+    drawn = users.select("user_id", "v", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).withColumn("w", measures.resample_weight(F.col("b"), F.col("user_id")))
+    means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
+    return means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"), F.count("*").alias("resamples"))
 
 
 @query("SELECT round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, event_type FROM events GROUP BY event_type")
@@ -260,13 +261,11 @@ def macro_average(spark, d):
     return inner.groupBy("lang").agg(F.round(F.avg("m"), 6).alias("macro"), F.count("*").alias("sources"))
 
 
-@query("""SELECT doc_id, lang, CASE WHEN n <= 0.2 * total THEN 'test' ELSE 'dev' END AS part FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS n, count(*) OVER (PARTITION BY lang) AS total FROM documents WHERE lang IS NOT NULL)""")
+@query(f"""SELECT doc_id, lang, CASE WHEN {CHANCE.format("lang || ':' || CAST(doc_id AS VARCHAR)")} < 0.2 THEN 'test' ELSE 'dev' END AS part FROM documents WHERE lang IS NOT NULL""")
 def stratified_split(spark, d):
-    """A fifth of every language, by hash."""
+    """About a fifth of every language, by hash: no language is sorted as a whole."""
     docs = table(spark, d, "documents").where("lang is not null").select("doc_id", "lang")
-    total = docs.groupBy("lang").agg(F.count("*").alias("total"))
-    n = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return docs.withColumn("n", n).join(total, "lang").select("doc_id", "lang", F.when(F.col("n") <= 0.2 * F.col("total"), "test").otherwise("dev").alias("part"))
+    return docs.select("doc_id", "lang", F.when(measures.chance(F.col("lang"), F.col("doc_id")) < 0.2, "test").otherwise("dev").alias("part"))
 
 
 # Judged passages: the places recorded as hits; cited spans: those of the chunks. Both have lines within files.
