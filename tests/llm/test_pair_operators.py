@@ -71,6 +71,26 @@ def test_a_third_of_all_rows_are_copies(spark, vocabulary):
     assert members.where("rep = 0").count() == 300
 
 
+def test_boilerplate_is_probed_again(spark, vocabulary):
+    rng = random.Random(12)
+    head = text(rng, vocabulary, 70)
+    rows = {i: f"{head} {text(rng, vocabulary, 45)}" for i in range(200)}
+    rows |= {1000 + i: changed(rng, rows[i], 3) for i in range(40)}
+    want = set()
+    sets = {i: near_copies.shingles(t) for i, t in rows.items()}
+    for i in rows:
+        for j in rows:
+            if i < j:
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    want.add((i, j))
+    df = spark.createDataFrame(list(rows.items()), "id bigint, text string")
+    for hot in (near_copies.HOT, 10, 1):
+        links, _ = near_copies.near_copy_links(df, hot=hot)
+        assert {tuple(r) for r in links.collect()} == want
+    assert want
+
+
 def test_thresholds_are_allocated_and_complete():
     cost = {(i, t): [1.0, 10.0, 100.0][t] * (50 if i == 0 else 1) for i in range(13) for t in range(3)}
     t = near_copies.allocated(cost, 13)

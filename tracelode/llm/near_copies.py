@@ -5,7 +5,8 @@ near-copies differ in at most TAU bins but for a chance that `miss_probability`
 flip together, so they stay in one partition; bins whose values collide often are put into partitions with one another.
 A partition i gets its own threshold t_i (−1: never probed), all t_i + 1 summing to TAU + 1: then every pair within
 TAU differing bins differs in at most t_i bins of some partition i. The thresholds minimise the candidates that
-histograms of the whole collection predict, by dynamic programming. Candidates are then held against the whole sketch
+histograms of the whole collection predict, by dynamic programming. Texts that meet in a key with many others are not
+paired there but probed again by that key and one more partition. Candidates are then held against the whole sketch
 and at last against the exact shingle sets, so every pair that comes out is right.
 
 Equal texts are folded before and unfolded after, so a group of copies costs one sketch.
@@ -218,6 +219,9 @@ def allocated(cost: dict[tuple[int, int], float], parts: int, tau: int = TAU) ->
     return best[tau + 1][1]
 
 
+#: Texts with one key above which they are not paired at once: they are probed again among themselves, by the other
+#: partitions together with that key. Boilerplate that a third of all texts have is then no group of its own.
+HOT = 300
 #: Bits of a key within its bucket. A false meeting of two keys costs one comparison of tags and nothing else.
 LOW_BITS = 24
 #: Ratio of the steps in which shingle counts are kept, in one byte.
@@ -238,29 +242,68 @@ def _unplaned(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
+def _packed(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """For each bucket of keys one row: the keys' low bits, the ids and the steps of the shingle counts."""
+    step = (np.log(np.maximum(n, 1)) / np.log(STEP)).astype(np.int64)
+    order = np.argsort(keys)
+    keys, rows = keys[order], rows[order]
+    code = _codes(keys, buckets)
+    bucket = code >> LOW_BITS
+    at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
+    parts = list(zip(at[:-1], at[1:]))
+    low, own, size = code & ((1 << LOW_BITS) - 1), ids[rows].astype(np.int64), step[rows]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in parts]].astype(np.int32))] + [pa.array([_planes(x[a:b], w) for a, b in parts], pa.binary()) for x, w in ((low, LOW_BITS // 8), (own, 8), (size, 2))], names=["bucket", "low", "ids", "sizes"])
+
+
+def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket and low bits in one number."""
+    bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    return bucket << LOW_BITS | (keys & U64((1 << LOW_BITS) - 1)).astype(np.int64)
+
+
 def _probes(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each bucket of keys one packed row: the keys' low bits, the ids and the steps of the shingle counts."""
+    """Packed keys of (id, n, kind, sketch)."""
     for batch in batches:
-        ids, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        step = (np.log(np.maximum(n, 1)) / np.log(STEP)).astype(np.int64)
-        kind, m = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
+        ids, n, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        m = _matrix(batch.column(3))
         keys = np.concatenate([k for i, (bins, t) in enumerate(zip(layout, thresholds)) if t >= 0 for k in _variant_keys(m, bins, t, kind, i)])
-        rows = np.tile(np.arange(len(ids), dtype=np.int32), len(keys) // max(1, len(ids)))
-        order = np.argsort(keys)
-        keys, rows = keys[order], rows[order]
-        bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-        at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
-        parts = list(zip(at[:-1], at[1:]))
-        low, own, size = (keys & U64((1 << LOW_BITS) - 1)).astype(np.int64), ids[rows].astype(np.int64), step[rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[[a for a, _ in parts]].astype(np.int32))] + [pa.array([_planes(x[a:b], w) for a, b in parts], pa.binary()) for x, w in ((low, LOW_BITS // 8), (own, 8), (size, 2))], names=["bucket", "low", "ids", "sizes"]
-        )
-
-
-def _pairs(table: pa.Table) -> pa.Table:
+        yield _packed(keys, np.tile(np.arange(len(ids), dtype=np.int32), len(keys) // max(1, len(ids))), ids, n, buckets)
+
+
+def _second_probes(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], others: list[list[int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed keys of (hot, id, n, kind, sketch), each joined with the hot key. The partition that the hot key is of is
+    left out; the thresholds of the rest sum up as if it were not there, so no pair is lost."""
+    for batch in batches:
+        hot, ids, n, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        m = _matrix(batch.column(4))
+        of = np.full(len(ids), -1)
+        for i, (bins, t) in enumerate(zip(layout, thresholds)):
+            if t >= 0:
+                for k in _variant_keys(m, bins, t, kind, i):
+                    of[_codes(k, buckets) == hot] = i
+        keys, rows = [], []
+        for i in np.unique(of[of >= 0]):
+            at = np.flatnonzero(of == i)
+            for j, (bins, t) in enumerate(zip(layout, others[i])):
+                if t >= 0:
+                    for k in _variant_keys(m[at], bins, t, kind[at], j):
+                        keys.append(mix(k ^ mix(hot[at].astype(U64) + U64(1))))
+                        rows.append(at)
+        if keys:
+            yield _packed(np.concatenate(keys), np.concatenate(rows), ids, n, buckets)
+
+
+def _pairs(table: pa.Table, hot: int) -> pa.Table:
+    """Pairs (a, b) of ids with one key; of keys with more than `hot` ids (a: the key, b: an id) instead."""
+    bucket = table.column("bucket")[0].as_py()
     low, ids, size = (_unplaned(table.column(c), w) for c, w in (("low", LOW_BITS // 8), ("ids", 8), ("sizes", 2)))
     order = np.lexsort((ids, low))
     low, ids, size = low[order], ids[order], size[order]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(low)) + 1, [len(low)]))
+    many = np.repeat(np.diff(edges) > hot, np.diff(edges))
+    codes = low[many] | bucket << LOW_BITS
+    again = np.unique(np.stack([codes, ids[many]]), axis=1)
+    low, ids, size = low[~many], ids[~many], size[~many]
     apart = math.log(1 / 0.8) / math.log(STEP) + 1
     a, b = [], []
     step = 1
@@ -274,7 +317,7 @@ def _pairs(table: pa.Table) -> pa.Table:
         b.append(ids[right[ok]])
         step += 1
     both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
-    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+    return pa.table({"a": pa.array(np.concatenate((both[0], again[0])), pa.int64()), "b": pa.array(np.concatenate((both[1], again[1])), pa.int64()), "hot": pa.array(np.arange(both.shape[1] + again.shape[1]) >= both.shape[1])})
 
 
 def _close(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
@@ -295,7 +338,7 @@ def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copy_links(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def near_copy_links(texts: DataFrame, threshold: float = 0.8, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Of (id, text): the links (a, b), a < b, between the least ids of different texts of at least this similarity
     (0.8 or more, for which TAU is made), and the membership (id, rep) of every id with a text."""
     if threshold < 0.8:
@@ -314,13 +357,23 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     thresholds = allocated(cost, len(layout))
     keys = sum(r["keys"] for r in found if thresholds[r["part"]] == r["t"])
     buckets = 1 << max(4, min(20, math.ceil(math.log2(keys / 100_000 + 1))))
-    candidates = (
-        reps.select("id", "n", "kind", "sketch")
-        .mapInArrow(partial(_probes, layout=layout, thresholds=thresholds, buckets=buckets), "bucket int, low binary, ids binary, sizes binary")
-        .groupBy("bucket")
-        .applyInArrow(_pairs, "a bigint, b bigint")
-        .distinct()
-    )
+    packed = "bucket int, low binary, ids binary, sizes binary"
+
+    def first(table: pa.Table) -> pa.Table:
+        return _pairs(table, hot)
+
+    def last(table: pa.Table) -> pa.Table:
+        return _pairs(table, len(table) + (1 << 62))
+
+    sketched = reps.select("id", "n", "kind", "sketch")
+    found = cut(sketched.mapInArrow(partial(_probes, layout=layout, thresholds=thresholds, buckets=buckets), packed).groupBy("bucket").applyInArrow(first, "a bigint, b bigint, hot boolean").distinct())
+    candidates = found.where("not hot").select("a", "b")
+    again = found.where("hot").select(F.col("a").alias("hot"), F.col("b").alias("id"))
+    if not again.isEmpty():
+        others = [allocated({k: v if k[0] != i else math.inf for k, v in cost.items()}, len(layout)) for i in range(len(layout))]
+        second = again.join(sketched, "id").select("hot", "id", "n", "kind", "sketch")
+        second = second.mapInArrow(partial(_second_probes, layout=layout, thresholds=thresholds, others=others, buckets=buckets), packed)
+        candidates = candidates.unionByName(second.groupBy("bucket").applyInArrow(last, "a bigint, b bigint, hot boolean").select("a", "b")).distinct()
     side = reps.select("id", "kind", "tag")
     near = (
         candidates.join(side.select(F.col("id").alias("a"), "kind", F.col("tag").alias("tag_a")), "a")
