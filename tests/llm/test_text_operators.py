@@ -63,6 +63,8 @@ FOUND = {
     "machine a.example login bob password " + RANDOM: 1,
     "//a.example/:_authToken=" + RANDOM * 2: 1,
     "- name: API_TOKEN\n  value: '" + RANDOM + "'": 2,
+    "The access key is `" + RANDOM + "`.": 1,
+    "- name: AUTHORIZATION\n  value: 'Basic " + "dXNlcjpPc25YaG96dWM3" + "aUdPZg=='": 2,
     "パスワード：" + RANDOM: 1,
     "mật khẩu của máy là: " + RANDOM: 1,
     "The passwd is `" + RANDOM + "`.": 1,
@@ -166,6 +168,7 @@ CASES = [
     "Dr. Orchard keeps it in Fig. 3 and a river.| The mirror fell, i.e. below a ledger.| A kernel stays.",
     "# A heading|\n\nText of it goes on\nover two lines. [N3, W2]| More.|\n\n- one item. With two|\n- another",
     "“Does the mirror hold?” asked Orchard near a river.| “Stop!” is what it says.| Who?| Me!| A river.",
+    "« Est-ce une mesure\n? » demande Istti.| « Est-ce tout ?\n» demande Istti.| Fin.",
     "狭い講義は川を測る。|「港を測る。」|静かな表は広い？|\n次の行は別だ|\nさらに別だ",
     "他写道：“河流很长。”|后来……|我们走。",
     "ตารางของหุบเขาวัดสูตรอาหาร| คลังข้อความกู้คืน",

@@ -64,8 +64,8 @@ FORMATS = [
     ("jwt", "eyj", r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}"),
 ]
 # Words in names of values that grant access.
-NAME_WORDS = ["password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "accountkey", "account_key", "authkey", "auth_key", "signingkey", "signing_key", "encryption_key", "master_key", "shared_key", "sharedaccesskey", "private_key", "privatekey", "credential", "deploy_key", "webhook_key"]
-_NAME = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key(?!_?id)|account[_-]?key|auth[_-]?key|signing[_-]?key|encryption[_-]?key|master[_-]?key|shared[_-]?key|private[_-]?key|deploy[_-]?key|webhook[_-]?key|secret[_-]?key|credentials?)[_-]?(?:\d{1,2}|base64|b64|value|prod|dev|live)?$", re.I)
+NAME_WORDS = ["password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "api key", "accesskey", "access_key", "access-key", "access key", "account key", "signing key", "accountkey", "account_key", "authkey", "auth_key", "signingkey", "signing_key", "encryption_key", "master_key", "shared_key", "sharedaccesskey", "private_key", "privatekey", "credential", "deploy_key", "webhook_key"]
+_NAME = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|access[_ -]?key(?!_?id)|account[_ -]?key|auth[_-]?key|signing[_ -]?key|encryption[_-]?key|master[_-]?key|shared[_-]?key|private[_-]?key|deploy[_-]?key|webhook[_-]?key|secret[_-]?key|credentials?)[_-]?(?:\d{1,2}|base64|b64|value|prod|dev|live)?$", re.I)
 _OTHER_NAMES = re.compile(r"(?:public|cache|page|next|prev|csrf_field|sort|foreign|primary|start|end|continuation|sync|pad|eos|bos|unk|mask|cls|sep)[_-]?(?:token|key|access[_-]?key)$", re.I)
 _WORDCHAR = re.compile(r"[\w.\-]*", re.A)
 _BEFORE = re.compile(r"[\w.\-]*\Z", re.A)
@@ -210,16 +210,15 @@ def _at(text: str, rule: tuple, begin: int, end: int) -> Iterator[tuple[str, int
         if m and not _NOT_A_VALUE.search(m["v"]) and m["v"].lower() not in _PLAIN_WORDS and not re.fullmatch(r"[${<*].*|[*xX.]+", m["v"]) and len(m["v"]) >= 4:
             yield "address-password", m.start("v"), m.end("v")
     elif rule[0] == "header":
-        line = text.rfind("\n", 0, begin) + 1
         m = _HEADER.match(text, begin if text[begin] in "bB" else end - 6)
-        if m and re.search(r"(?i)authori[sz]ation|header|auth", text[max(line, begin - 60) : begin]):
+        if m and (m["kind"].lower() == "basic" or re.search(r"(?i)authori[sz]ation|header|auth", text[max(0, begin - 90) : begin])):
             value = m["v"]
             if m["kind"].lower() == "basic":
                 try:
                     plain = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode()
                 except (binascii.Error, UnicodeDecodeError):
                     return
-                if ":" in plain and len(plain.split(":", 1)[1]) >= 4 and plain.split(":", 1)[1].lower() not in _PLAIN_WORDS and not _NOT_A_VALUE.search(plain.split(":", 1)[1]):
+                if ":" in plain and plain.isprintable() and len(plain.split(":", 1)[1]) >= 4 and plain.split(":", 1)[1].lower() not in _PLAIN_WORDS and not _NOT_A_VALUE.search(plain.split(":", 1)[1]):
                     yield "basic-login", m.start("v"), m.end("v")
             elif grants(value, 12) and _varied("    " + value):
                 yield "bearer-token", m.start("v"), m.end("v")
