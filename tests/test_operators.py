@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import calls, udfs
 from tracelode.functions import text as T
-from tracelode.operators import chunking, datafilter, dense, index, lexical, linkage, measures, privacy, ranking, sessions
+from tracelode.operators import chunking, datafilter, dense, index, lexical, linkage, measures, privacy, ranking, sessions, stored
 from tracelode.sources import logs, parse, rules, walk
 from tracelode.streaming import ingest
 
@@ -69,6 +69,18 @@ def test_bm25_by_hand(spark):
     assert lexical.scores(df.where("false"), q).count() == 0 and lexical.scores(df, q.where("false")).count() == 0
 
 
+def test_stored_index_equals_scan(spark, tmp_path):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))]) for i in range(80)], "id bigint, tokens array<string>")
+    q = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["zz"]), (3, ["h"])], "qid bigint, tokens array<string>")
+    stored.build(df, str(tmp_path))
+    key = lambda rows: {(r["qid"], r["id"]): pytest.approx(r["score"]) for r in rows.collect()}
+    got = stored.search(spark, str(tmp_path), q)
+    assert key(lexical.scores(df, q)) == {k: v.expected for k, v in key(got).items()} and got.count() > 80
+    assert "PartitionFilters: [bucket" in got._jdf.queryExecution().toString().replace("isnotnull(bucket#", "bucket")
+    assert stored.search(spark, str(tmp_path), q.where("false")).count() == 0
+
+
 def ranked(spark, scores):
     return spark.createDataFrame([(1, i, float(s)) for i, s in scores], "qid bigint, id bigint, score double")
 

@@ -4,14 +4,16 @@ Queries are every hundredth chunk (id divisible by 100), by its first eight word
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
-from tracelode.operators import dense, lexical, ranking
+from tracelode.operators import dense, lexical, ranking, stored
 from tracelode.plans.catalog import query
 from tracelode.plans.text import W_TEXT, WORDS
-from tracelode.tables import cut, spread, table
+from tracelode.tables import checkpoint_dir, cut, spread, table
 
 ASKED, DEPTH = 8, 100
 
@@ -73,6 +75,15 @@ def bm25_top(spark, d):
     return ranking.top(lexical_scores(spark, d).where("score > 0"), DEPTH).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(f"WITH {BM25} SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lex WHERE score > 0 QUALIFY rank <= 10")
+def bm25_stored(spark, d):
+    """The same search from an index on disk, of which only the parts of the queries' words are read."""
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    stored.build(corpus(spark, d), path)
+    found = stored.search(spark, path, questions(spark, d)).withColumn("score", F.round("score", 6))
+    return ranking.top(found.where("score > 0"), 10).select("qid", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"WITH {BM25} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df JOIN (SELECT DISTINCT term FROM q) USING (term), st")
 def query_term_weights(spark, d):
     c = corpus(spark, d)
