@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracelode.llm.arrays import U64, bundles, gram_hashes, mix, points
 from tracelode.llm.sieve import sieved
-from tracelode.tables import cut
+from tracelode.tables import cut, written
 
 SHINGLE = 8
 BINS = 64
@@ -366,7 +366,7 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8, hot: int = HOT) ->
         return _pairs(table, len(table) + (1 << 62))
 
     sketched = reps.select("id", "n", "kind", "sketch")
-    found = cut(sketched.mapInArrow(partial(_probes, layout=layout, thresholds=thresholds, buckets=buckets), packed).groupBy("bucket").applyInArrow(first, "a bigint, b bigint, hot boolean").distinct())
+    found = written(sketched.mapInArrow(partial(_probes, layout=layout, thresholds=thresholds, buckets=buckets), packed).groupBy("bucket").applyInArrow(first, "a bigint, b bigint, hot boolean").distinct())
     candidates = found.where("not hot").select("a", "b")
     again = found.where("hot").select(F.col("a").alias("hot"), F.col("b").alias("id"))
     if not again.isEmpty():
