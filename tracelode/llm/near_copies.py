@@ -134,11 +134,20 @@ def _rows(m: np.ndarray) -> pa.Array:
     return pa.array([flat[i : i + width] for i in range(0, len(flat), width)], pa.binary())
 
 
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(normalised(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "digest"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [normalised(t) for t in batch.column(1).to_pylist()]
-        digest = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        digest = [_digest(t) for t in texts]
         n, small, large = sketches(texts)
         for kind, values, which in ((0, small, n <= SMALL), (1, large, n >= OVERLAP)):
             at = np.flatnonzero(which)
@@ -345,9 +354,10 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8, hot: int = HOT) ->
         raise ValueError("the sketches are made for a similarity of 0.8 or more")
     spark = texts.sparkSession
     texts = texts.where("id is not null and text is not null").select("id", "text")
-    made = cut(texts.mapInArrow(_sketch, _SKETCH))
-    members = made.select("id", "digest").join(made.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep", "digest").distinct()
-    reps = cut(made.groupBy("digest", "kind").agg(F.min_by(F.struct("id", "n", "sketch", "tag"), "id").alias("x")).select("x.id", "x.n", "kind", "x.sketch", "x.tag"))
+    # digests are made twice, which costs less than to keep the sketches of all texts
+    digests = texts.mapInArrow(_digests, "id bigint, digest binary").distinct()
+    members = digests.join(digests.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
+    reps = cut(texts.mapInArrow(_sketch, _SKETCH).groupBy("digest", "kind").agg(F.min_by(F.struct("id", "n", "sketch", "tag"), "id").alias("x")).select("x.id", "x.n", "kind", "x.sketch", "x.tag"))
     rates = {r["part"]: r["pairs"] for r in reps.select("sketch").mapInArrow(_bin_rates, "t int, part int, cells binary").groupBy("t", "part").applyInArrow(_add, "t int, part int, pairs double, keys bigint").collect()}
     rates = {b: rates.get(b, 0.0) for b in range(BINS)}
     layout = grouped_bins(rates)
@@ -391,7 +401,7 @@ def near_copy_links(texts: DataFrame, threshold: float = 0.8, hot: int = HOT) ->
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(partial(_exact, threshold=threshold), "a bigint, b bigint")
     )
-    return cut(links), members.select("id", "rep")
+    return cut(links), members
 
 
 def near_copy_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
