@@ -35,7 +35,7 @@ from tracelode.llm.arrays import U64, bundles, gram_hashes, points
 RUN = 60
 GRAM, SHARE = 8, 4
 BLOCK, ITEM = 60, 200
-RANK, COSINE = 256, 0.08
+RANK, COSINE = 256, 0.09
 ITEMS = 1_000
 SLOTS = 21
 BUDGET = 500_000
@@ -227,6 +227,8 @@ def built(items: list[tuple[int, str]], documents: DataFrame) -> Index | None:
     for begin in range(0, len(rows), 20_000):
         part = slice(begin, begin + 20_000)
         np.add.at(latent, rows[part], values[part, None].astype(np.float32) * vectors[cols[part]])
+    # at unit length in the latent space: passages that the factors hold badly are searched for as well as others
+    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-6)[:, None]
     _, lengths = stripped(texts)
     run = gram_hashes(cp, RUN)
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -313,7 +315,7 @@ def _found(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
 
 #: From this cosine on a passage is held against the item's by longest common subsequence; both from these shares on
 #: make a reordered or partly changed copy.
-CLOSE, SUBSEQUENCE, ANSWERS = 0.25, 0.7, 0.5
+CLOSE, SUBSEQUENCE, ANSWERS = 0.3, 0.7, 0.5
 
 
 def common_subsequence(a: str, b: str) -> int:
