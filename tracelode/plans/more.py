@@ -9,7 +9,7 @@ from tracelode.functions import udfs
 from tracelode.operators import dense, index, lexical, ranking
 from tracelode.plans import search
 from tracelode.plans.catalog import query
-from tracelode.plans.search import BM25, DENSE, LEX_TOP
+from tracelode.plans.search import BM25, DENSE, LEX_TOP, NORM, SHINGLES
 from tracelode.sources import parse
 from tracelode.tables import table
 
@@ -84,6 +84,25 @@ def evidence_found(spark, d):
     return p.join(k, (F.col("kp") == F.col("path")) & (F.col("ks") <= F.col("s")) & (F.col("s") <= F.col("ke")), "left").groupBy("query_id", "rank", "id").agg(F.count_distinct("chunk").alias("chunks"))
 
 
+PLACED = r"""pl AS (SELECT DISTINCT id, unnest(copies) AS place FROM hits WHERE copies IS NOT NULL), pp AS (SELECT id, regexp_extract(place, '^(.*):(?:L|p\.|cell )([0-9]+)(?:-([0-9]+))?$', 1) AS path, CAST(nullif(regexp_extract(place, '^(.*):(?:L|p\.|cell )([0-9]+)(?:-([0-9]+))?$', 2), '') AS INT) AS s FROM pl),
+ck AS (SELECT id, any_value(path) AS path, any_value("start") AS s, min(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id), pr AS (SELECT DISTINCT pp.id, ck.id AS copy FROM pp JOIN ck ON ck.path = pp.path AND ck.s = pp.s WHERE ck.id <> pp.id)"""
+
+
+@query(f"""WITH {PLACED}, tx AS (SELECT id, {NORM.format('text')} AS n FROM ck), sh AS (SELECT id, {SHINGLES} AS s FROM tx)
+SELECT pr.id, copy, len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS alike FROM pr JOIN sh a ON a.id = pr.id JOIN sh b ON b.id = pr.copy""")
+def copies_verified(spark, d):
+    """Copies as recorded, held against the texts: the chunk at each recorded place, and whether it is a near-copy."""
+    place = r"^(.*):(?:L|p\.|cell )([0-9]+)(?:-([0-9]+))?$"
+    p = table(spark, d, "hits").where("size(copies) > 0").select("id", F.explode("copies").alias("place")).distinct()
+    p = p.select("id", F.regexp_extract("place", place, 1).alias("path"), F.nullif(F.regexp_extract("place", place, 2), F.lit("")).cast("int").alias("s"))
+    chunks = table(spark, d, "chunks").where("text is not null").groupBy("id").agg(F.first("path").alias("path"), F.first("start").alias("s"), F.min("text").alias("text"))
+    pairs = p.join(chunks.select(F.col("id").alias("copy"), "path", "s"), ["path", "s"]).where("copy <> id").select("id", "copy").distinct()
+    wanted = pairs.select(F.explode(F.array("id", "copy")).alias("id")).distinct()
+    sets = chunks.join(wanted, "id", "left_semi").select("id", F.transform(T.shingles("text"), lambda x: F.xxhash64(x)).alias("s"))
+    both = pairs.join(sets.select("id", F.col("s").alias("a")), "id").join(sets.select(F.col("id").alias("copy"), F.col("s").alias("b")), "copy")
+    return both.select("id", "copy", T.alike(F.col("a"), F.col("b")).alias("alike"))
+
+
 @query("""SELECT count(*) AS judged, count(DISTINCT query_id) AS queries FROM (SELECT DISTINCT query_id, id FROM hits WHERE score > 0 AND id IN (SELECT id FROM chunks WHERE text IS NOT NULL))""")
 def judgements_clean(spark, d):
     """Grades above zero on known texts, and the queries that have one."""
