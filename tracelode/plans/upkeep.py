@@ -339,10 +339,16 @@ def filter_confusion(spark, d):
 @query("""WITH c AS (SELECT DISTINCT id, path, "start" AS s, coalesce(unit, 'line') AS u FROM chunks), h AS (SELECT DISTINCT path, "end" AS line, query_id, "rank" FROM hits WHERE coalesce(unit, 'line') = 'line')
 SELECT query_id, "rank", h.path, arg_max(c.id, CAST(c.s AS BIGINT) * 1000000000 + c.id) AS block FROM h JOIN c ON c.path = h.path AND c.u = 'line' AND c.s <= h.line GROUP BY ALL""")
 def line_to_block(spark, d):
-    """As-of lookup: the last block that begins at or before a line. The blocks of a file and the lines asked for are
-    one ordered sequence, so no line meets more than the block before it."""
+    """As-of lookup: the last chunk that begins at or before a line. Chunks and lines asked for are one sequence, looked
+    through within stretches of a file; before its stretch's first chunk a line takes the last chunk of the stretches
+    before. So a file with a third of all chunks is spread, and no line meets more than one chunk."""
     c = table(spark, d, "chunks").where("coalesce(unit, 'line') = 'line'").select("path", F.col("start").alias("at"), F.col("id").alias("block"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("query_id"), F.lit(None).cast("int").alias("rank")).distinct()
     h = table(spark, d, "hits").where("coalesce(unit, 'line') = 'line'").select("path", F.col("end").alias("at"), F.lit(None).cast("bigint").alias("block"), F.lit(1).alias("side"), "query_id", "rank").distinct()
-    w = Window.partitionBy("path").orderBy("at", "side", F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = c.unionByName(h).withColumn("found", F.last("block", ignorenulls=True).over(w))
-    return placed.where("side = 1 and found is not null").groupBy("query_id", "rank", "path").agg(F.max_by("found", "at").alias("block"))
+    rows = c.unionByName(h).withColumn("stretch", F.floor(F.col("at") / 500))
+    here = Window.partitionBy("path", "stretch").orderBy("at", "side", F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("path", "stretch").agg(F.max_by("block", F.when(F.col("side") == 0, F.struct("at", "block"))).alias("end"))
+    earlier = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("path", "stretch", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    placed = rows.withColumn("within", F.last("block", ignorenulls=True).over(here)).join(carried, ["path", "stretch"])
+    found = placed.where("side = 1").withColumn("found", F.coalesce("within", "carried")).where("found is not null")
+    return found.groupBy("query_id", "rank", "path").agg(F.max_by("found", "at").alias("block"))
