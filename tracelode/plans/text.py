@@ -105,7 +105,7 @@ def doc_lines(spark, d):
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0),
 g AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS total FROM g GROUP BY doc_id)
-SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS bits FROM g JOIN t USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, round(0 - sum(n / total * log2(n / total)), 6) AS bits FROM g JOIN t USING (doc_id) GROUP BY doc_id""")
 def char_entropy(spark, d):
     """Bits a character, by counting: a text's characters are aggregated before anything is exchanged."""
     chars = _documents(spark, d).where("length(text) > 0").select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
