@@ -32,7 +32,8 @@ def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarra
         x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
         for begin in range(0, len(own), 4096):
             part = own[begin : begin + 4096]
-            score = np.round(queries @ x[begin : begin + 4096].T, 6) + 0.0
+            score = queries @ x[begin : begin + 4096].T
+            score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0  # halves away from zero
             if not same:
                 score = np.where(ids[:, None] == part[None, :], -np.inf, score)
             last = -np.partition(-score, min(n, score.shape[1]) - 1, axis=1)[:, min(n, score.shape[1]) - 1]
