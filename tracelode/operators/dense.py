@@ -33,7 +33,8 @@ def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarra
         for begin in range(0, len(own), 4096):
             part = own[begin : begin + 4096]
             score = queries @ x[begin : begin + 4096].T
-            score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0  # halves away from zero
+            # halves away from zero; the small addend makes up for the order of summation just below a half
+            score = np.copysign(np.floor(np.abs(score) * 1e6 + (0.5 + 1e-5)) / 1e6, score) + 0.0
             if not same:
                 score = np.where(ids[:, None] == part[None, :], -np.inf, score)
             last = -np.partition(-score, min(n, score.shape[1]) - 1, axis=1)[:, min(n, score.shape[1]) - 1]
