@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelode.llm import leaks, near_copies, neighbours, shared_spans
@@ -174,6 +175,30 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.similar_pairs(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.045, 0.0005])
+def test_dense_cluster_keeps_its_nearest(spark, noise):
+    """More vectors than any fixed multiple of k lie within a byte's rounding of the tenth best."""
+    rng = np.random.default_rng(21)
+    centre = rng.standard_normal(64)
+    x = np.concatenate([centre + noise * rng.standard_normal((700, 64)), rng.standard_normal((500, 64))]).astype(np.float16).astype(np.float32)
+    x[::7] += np.float32(1e-4) * rng.standard_normal(x[::7].shape).astype(np.float32)  # not of half precision
+    m = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = np.round(np.minimum(m @ m.T, 1), 12)
+    np.fill_diagonal(cos, -2)
+    df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "id bigint, vec array<float>")
+    got = {(r["id"], r["other"]): r["cosine"] for r in neighbours.neighbour_ids(df, recall=1.0).collect()}
+    want = {(i, int(j)) for i in range(700) for j in np.lexsort((np.arange(len(x)), -cos[i]))[:10]}
+    assert len(want & set(got)) >= 0.99 * len(want)
+    assert all(abs(cos[p] - c) < 1e-11 for p, c in got.items())
+
+
+def test_packed_vectors_come_back_as_they_were():
+    x = np.array([[0.5] * 64, [0.1] * 64, [1e6] + [1.0] * 63, [1e-30] * 64], np.float32)
+    packed = neighbours._packed(pa.array([v.tobytes() for v in x], pa.binary()))
+    assert [len(v) for v in packed.to_pylist()] == [128, 256, 256, 256]
+    assert np.array_equal(neighbours._unpacked(packed), x)
+
+
 def test_traversal_visits_every_leaf_once():
     x = np.random.default_rng(1).standard_normal((500, 64)).astype(np.float32)
     tree = neighbours.fitted(x, 20)

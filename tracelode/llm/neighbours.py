@@ -4,9 +4,9 @@ The tree is fitted on a bounded sample (SAMPLE vectors, the least by hash) and e
 leaf that its own traversal reaches first. A traversal keeps a priority queue of tree nodes by distance and opens the
 nearest one next; it is done for a whole batch at once. How many leaves are visited is calibrated: exact neighbours of
 PROBES vectors against all vectors are found by brute force, and visits are widened until the wanted share of those
-neighbours lies in visited leaves. Vectors meet in their leaves in one exchange, as bytes; each pair met counts for both
-sides, and the calibration counts a pair as met where either side visits the other's leaf. The best met are then ranked
-by their exact cosines.
+neighbours lies in visited leaves. Vectors meet in their leaves in one exchange, at half precision where that loses
+nothing; each pair met counts for both sides, and the calibration counts a pair as met where either side visits the
+other's leaf. Cosines in a leaf are exact to 12 digits, so no vector that was met is lost, however dense its region.
 
 Equal vectors are folded before and unfolded after; leaves are split by the sample's density, so a dense region gets
 more of them.
@@ -125,11 +125,15 @@ def visits(tree: Tree, x: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS))
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows = batch.column(0), batch.column(1)
@@ -151,25 +155,26 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, BATCH)
 
 
-#: What rounding to bytes can change in a cosine: 64 products, each off by less than the square of a byte's step.
-ROUNDING = 0.01
+def _packed(column: pa.Array) -> pa.Array:
+    """Vectors at half precision where every element has it, else as they are."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    same = (half == x).all(axis=1)
+    return pa.array([(h if s else v).tobytes() for h, v, s in zip(half, x, same)], pa.binary())
 
 
-def _bytes(x: np.ndarray) -> list[bytes]:
-    """A scale (float32) and one byte for each element of a unit vector."""
-    scale = np.abs(x).max(axis=1).astype(np.float32) / np.float32(127)
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale, codes)]
-
-
-def _from_bytes(column: pa.ChunkedArray) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 + DIMENSIONS)
-    scale = np.ascontiguousarray(flat[:, :4]).view(np.float32)
-    return np.ascontiguousarray(flat[:, 4:]).view(np.int8).astype(np.float32) * scale
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_pylist()
+    half = np.array([len(r) == 2 * DIMENSIONS for r in rows], bool)
+    x = np.empty((len(rows), DIMENSIONS), np.float32)
+    for chosen, kind in ((half, np.float16), (~half, np.float32)):
+        x[chosen] = np.frombuffer(b"".join(rows[i] for i in np.flatnonzero(chosen)), kind).reshape(-1, DIMENSIONS)
+    return x
 
 
 def _placed(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, every: int) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, id, member, asks, code) for the leaf that a vector is indexed in and those that it asks."""
+    """Rows (leaf, id, member, asks, packed) for the leaf that a vector is indexed in and those that it asks."""
     for batch in _batched(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         x = _units(batch.column(1)).astype(np.float32)
@@ -179,32 +184,38 @@ def _placed(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, every: int
             if chosen.any():
                 leaves[chosen, :n] = visits(tree, x[chosen], n)
         row, place = np.nonzero(leaves >= 0)
-        codes = pa.array(_bytes(x), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(leaves[row, place].astype(np.int32)), pa.array(ids[row], pa.int64()), pa.array(place == 0), pa.array(asks[row]), codes.take(pa.array(row))], names=["leaf", "id", "member", "asks", "code"])
+        packed = _packed(batch.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array(leaves[row, place].astype(np.int32)), pa.array(ids[row], pa.int64()), pa.array(place == 0), pa.array(asks[row]), packed.take(pa.array(row))], names=["leaf", "id", "member", "asks", "packed"])
+
+
+#: Digits of a cosine; what differs by less is a tie.
+DIGITS = 12
 
 
 def _best(cos: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row id, column id, cosine) of each row's k best columns of at least `floor`, its own id left out."""
     cos = np.where(rows[:, None] == columns[None, :], -np.inf, cos)
+    least = np.full(len(rows), floor)
     if cos.shape[1] > k:
-        # one more than k, and all that tie with the last: ties are settled by id later
-        last = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
-        chosen = (cos >= np.maximum(last, floor)[:, None]) & np.isfinite(cos)
-    else:
-        chosen = (cos >= floor) & np.isfinite(cos)
-    i, j = np.nonzero(chosen)
-    return rows[i], columns[j], cos[i, j]
+        least = np.maximum(least, -np.partition(-cos, k - 1, axis=1)[:, k - 1])
+    # a little less than the last, so that all that tie with it are there when ties are settled by id
+    i, j = np.nonzero((cos >= least[:, None] - 2 * 10.0**-DIGITS) & np.isfinite(cos))
+    c = np.round(np.minimum(cos[i, j], 1.0), DIGITS)
+    order = np.lexsort((columns[j], -c, i))
+    i, j, c = i[order], j[order], c[order]
+    kept = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (c >= floor)
+    return rows[i[kept]], columns[j[kept]], c[kept]
 
 
 def _meet(table: pa.Table, k: int, floor: float, both: bool) -> pa.Table:
     """Within a leaf: the best members of each row that asks, and where every row asks, the best askers of each member."""
     ids = table.column("id").to_numpy()
     member, asks = (np.array(table.column(c).to_pylist(), bool) for c in ("member", "asks"))
-    x = _from_bytes(table.column("code"))
+    x = _unit(_unpacked(table.column("packed")))
     own, out = np.flatnonzero(member), []
     if len(own):
-        for begin in range(0, len(ids), BATCH):
-            rows = begin + np.flatnonzero(asks[begin : begin + BATCH])
+        for begin in range(0, len(ids), BATCH // 2):
+            rows = begin + np.flatnonzero(asks[begin : begin + BATCH // 2])
             for at in range(0, len(own), 4 * BATCH):
                 columns = own[at : at + 4 * BATCH]
                 cos = x[rows] @ x[columns].T
@@ -215,18 +226,12 @@ def _meet(table: pa.Table, k: int, floor: float, both: bool) -> pa.Table:
     return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64()), "cos": pa.array(c.astype(np.float64))})
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cos = np.minimum((_units(batch.column(2)) * _units(batch.column(3))).sum(axis=1), 1.0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(cos, 12))], names=["x", "y", "cos"])
-
-
 def _brute(batches: Iterator[pa.RecordBatch], probes: tuple[np.ndarray, np.ndarray], k: int, floor: float) -> Iterator[pa.RecordBatch]:
     """A batch's best neighbours of every probe, with their vectors."""
     ids, q = probes
-    for batch in batches:
+    for batch in _batched(batches):
         own = batch.column(0).to_numpy(zero_copy_only=False)
-        x = _units(batch.column(1)).astype(np.float32)
+        x = _units(batch.column(1))
         a, b, c = _best(q @ x.T, ids, own, k, floor)
         order = np.argsort(own)
         at = order[np.searchsorted(own, b, sorter=order)]
@@ -245,13 +250,14 @@ def calibrated(vectors: DataFrame, tree: Tree, k: int, floor: float, recall: flo
     if not chosen:
         return 1, 1.0
     ids = np.array([r["id"] for r in chosen], np.int64)
-    q = _units(pa.array([bytes(r["vec"]) for r in chosen], pa.binary())).astype(np.float32)
+    q = _units(pa.array([bytes(r["vec"]) for r in chosen], pa.binary()))
     near = _top(vectors.mapInArrow(partial(_brute, probes=(ids, q), k=k, floor=floor), "x bigint, y bigint, cos double, vec binary"), k).select("x", "vec").collect()
     if not near:
         return min(4, tree.leaves), 1.0
     where = {int(i): n for n, i in enumerate(ids)}
     mine = np.array([where[r["x"]] for r in near])
     theirs = _units(pa.array([bytes(r["vec"]) for r in near], pa.binary())).astype(np.float32)
+    q = q.astype(np.float32)
     there = visits(tree, theirs, tree.leaves if every == 1 else 1)
     ranks = (visits(tree, q, tree.leaves)[mine] == there[:, :1]).argmax(axis=1)
     if every == 1:
@@ -285,17 +291,13 @@ def neighbours(vectors: DataFrame, k: int = 10, floor: float = -1.0, recall: flo
     plain = reps.select("id", "vec")
     most, _ = calibrated(plain, tree, k, floor, recall, every)
     # one more than calibrated: the probes' own recall is measured on a sample
-    placed = plain.mapInArrow(partial(_placed, tree=tree, most=min(most + 1, tree.leaves), every=every), "leaf int, id bigint, member boolean, asks boolean, code binary")
+    placed = plain.mapInArrow(partial(_placed, tree=tree, most=min(most + 1, tree.leaves), every=every), "leaf int, id bigint, member boolean, asks boolean, packed binary")
 
     def meet(table: pa.Table) -> pa.Table:
-        return _meet(table, 2 * k, floor - ROUNDING, every == 1)
+        return _meet(table, k, floor, every == 1)
 
     met = placed.groupBy("leaf").applyInArrow(meet, "x bigint, y bigint, cos double").groupBy("x", "y").agg(F.max("cos").alias("cos"))
-    # the leaf's cosines are of rounded vectors: twice as many are kept, then ranked exactly
-    best = _top(met, 2 * k).select("x", "y")
-    pairs = best.join(plain.select(F.col("id").alias("x"), F.col("vec").alias("vec_x")), "x").join(plain.select(F.col("id").alias("y"), F.col("vec").alias("vec_y")), "y")
-    exact = pairs.select("x", "y", "vec_x", "vec_y").mapInArrow(_exact, "x bigint, y bigint, cos double").where(F.col("cos") >= floor)
-    return _top(exact, k).select("x", "y", "cos"), members
+    return _top(met, k).select("x", "y", "cos"), members
 
 
 def neighbour_ids(vectors: DataFrame, k: int = 10, floor: float = -1.0, recall: float = 0.99, every: int = 1) -> DataFrame:
