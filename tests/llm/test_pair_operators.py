@@ -239,6 +239,29 @@ def test_leaks_equal_brute_force(spark, vocabulary):
     assert leaks.leaks(df.where("false"), ev).count() == 0 and leaks.leaks(df, ev.where("false")).count() == 0
 
 
+def test_short_runs_of_many_items_are_all_found(spark, vocabulary):
+    """Runs of exactly 60 characters from blocks with far more passages than the rank, in documents of common words."""
+    rng = random.Random(15)
+    items = [(i, text(rng, vocabulary, 160)) for i in range(300)]
+    docs, want = [], set()
+    for d in range(600):
+        i, t = rng.choice(items)
+        s = strip(t)
+        k = rng.randrange(0, len(s) - 60)
+        docs.append((d, f"{text(rng, vocabulary, 40)}. {s[k : k + 60]} {text(rng, vocabulary, 40)}"))
+    docs.append((700, "a" * 50 + "b" * 200))
+    items.append((400, "x " * 30 + "b" * 90))
+    grams = {}
+    for i, t in items:
+        s = strip(t)
+        for k in range(len(s) - 59):
+            grams.setdefault(s[k : k + 60], set()).add(i)
+    want = {(d, i) for d, t in docs for s in [strip(t)] for k in range(len(s) - 59) for i in grams.get(s[k : k + 60], ())}
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in leaks.leaks(df, ev).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.matches(df, ev).where("run").collect()} == want
+
+
 def test_common_subsequence():
     assert leaks.common_subsequence("abcbdab", "bdcaba") == 4 and leaks.common_subsequence("", "a") == 0
     rng = random.Random(2)

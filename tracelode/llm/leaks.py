@@ -3,15 +3,18 @@
 Texts are lower-cased and stripped to letters and digits. Terms are their character 8-grams, of which those with a hash
 in one of SHARE classes count, so that all scripts are treated alike. Documents are cut into overlapping passages of
 two blocks of BLOCK characters, items into passages of ITEM characters, so every common run of 60 characters lies
-whole in some passage of either side. One pass counts the documents of every item term over the whole corpus. The
-TF-IDF matrix of the item passages is factored by randomised SVD; a second pass projects every passage of the corpus
-into that latent space and searches it for item passages of at least COSINE. A passage whose projection is too short
-for that cosine with anything is left out before, which loses nothing. What is found is checked at once: for a common
-run of 60 characters, and for reordered or partly changed passages by the longest common subsequence and by the item's
-answer tokens (its numbers and names).
+whole in some passage of either side.
+
+Common runs of 60 characters are found exactly: every window of a document is looked up by its hash among those of the
+items, and what has the hash is held against the item's text. Reordered or partly changed passages are found by latent
+retrieval. One pass counts the documents of every item term over the whole corpus. The TF-IDF matrices of groups of
+RANK item passages are factored by randomised SVD, so the factors hold every passage whole; a second pass projects every
+passage of the corpus into each group's latent space and searches it for item passages of at least COSINE. A passage
+whose projection is too short for that cosine with anything is left out before, which loses nothing. What is found is
+checked at once by the longest common subsequence and by the item's answer tokens (its numbers and names).
 
 Items are taken in blocks of at most ITEMS, each with its own pass, so what is sent to the executors is bounded: at
-most ITEMS passages' terms, vectors of RANK numbers for each, and one table of 4 x 2^21 bytes.
+most ITEMS items' terms, vectors of RANK numbers for each in each group, tables of 4 x 2^21 and 2^SIEVE bytes.
 
 Defined cases: null and empty texts, null ids, and items below 60 letters and digits match nothing; repeated rows count once; an
 item text under several ids matches for each. Extra columns are not read.
@@ -37,7 +40,7 @@ GRAM, SHARE = 8, 4
 BLOCK, ITEM = 60, 200
 RANK, COSINE = 256, 0.09
 ITEMS = 1_000
-SLOTS = 21
+SLOTS, SIEVE = 21, 22
 BUDGET = 500_000
 _PIECE = 4_096
 
@@ -63,20 +66,39 @@ def stripped(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp[kept], np.diff(np.concatenate(([0], total[ends])))
 
 
+@dataclass
+class Runs:
+    """Hashes of all runs of the items, sorted, with their items and places; the stripped items; a sieve by hash."""
+
+    hashes: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    texts: dict[int, list[np.ndarray]]
+    sieve: np.ndarray
+
+
+@dataclass
+class Group:
+    """At most RANK item passages from `first` on: local numbers of terms (−1: not here), latent vectors of both."""
+
+    first: int
+    local: np.ndarray
+    vectors: np.ndarray
+    passages: np.ndarray
+
+
 @dataclass
 class Index:
-    """The item side: a table from hashes to terms, latent vectors of terms, and the item passages."""
+    """The item side: a table from hashes to terms, groups of item passages, and the runs."""
 
     slots: np.ndarray
     hashes: np.ndarray
     weights: np.ndarray
     rest: float
-    vectors: np.ndarray
-    passages: np.ndarray
+    groups: list[Group]
     item_of: np.ndarray
     place_of: np.ndarray
-    runs: np.ndarray
-    run_items: np.ndarray
+    runs: Runs
 
 
 def _terms(cp: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,8 +205,8 @@ def randomised_svd(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape
     return np.ascontiguousarray(u[:, :rank])
 
 
-def _item_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all terms, sorted, and for every occurrence in a passage its passage and term; passages' items; runs."""
+def _item_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all terms, sorted, and for every occurrence in a passage its passage and term; passages' items."""
     cp, lengths = stripped(texts)
     h, text, at = _terms(cp, lengths)
     hashes, term = np.unique(h, return_inverse=True)
@@ -196,14 +218,31 @@ def _item_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             if k >= 0:
                 rows.append(passages.setdefault((i, k), len(passages)))
                 cols.append(t)
-    return hashes, np.array(rows, np.int64), np.array(cols, np.int64), np.array(list(passages), np.int64).reshape(-1, 2), cp
+    return hashes, np.array(rows, np.int64), np.array(cols, np.int64), np.array(list(passages), np.int64).reshape(-1, 2)
+
+
+def _item_runs(items: list[tuple[int, str]]) -> Runs:
+    """Every run of RUN letters and digits of a block of items."""
+    ids = np.array([i for i, _ in items], np.int64)
+    cp, lengths = stripped([t for _, t in items])
+    begin = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    texts: dict[int, list[np.ndarray]] = {}
+    for i, b, n in zip(ids.tolist(), begin, lengths):
+        texts.setdefault(i, []).append(cp[b : b + n])
+    run = gram_hashes(cp, RUN)
+    owner = np.repeat(np.arange(len(items)), lengths)
+    inside = np.flatnonzero(owner[: len(run)] == owner[RUN - 1 : RUN - 1 + len(run)])
+    inside = inside[np.argsort(run[inside], kind="stable")]
+    sieve = np.zeros(1 << SIEVE, bool)
+    sieve[run[inside] >> U64(64 - SIEVE)] = True
+    return Runs(run[inside], ids[owner[inside]], inside - begin[owner[inside]], texts, sieve)
 
 
 def built(items: list[tuple[int, str]], documents: DataFrame) -> Index | None:
     """The index of a block of items, with document counts over the whole corpus."""
     texts = [t for _, t in items]
     ids = np.array([i for i, _ in items], np.int64)
-    hashes, rows, cols, where, cp = _item_terms(texts)
+    hashes, rows, cols, where = _item_terms(texts)
     item_of = where[:, 0]
     if not len(rows):
         return None
@@ -222,19 +261,22 @@ def built(items: list[tuple[int, str]], documents: DataFrame) -> Index | None:
     values = count * weights[cols]
     norm = np.sqrt(np.bincount(rows, values.astype(np.float64) ** 2))
     values = values / norm[rows]
-    vectors = randomised_svd(rows, cols, values, (len(item_of), len(hashes)), RANK)
-    latent = np.zeros((len(item_of), vectors.shape[1]), np.float32)
-    for begin in range(0, len(rows), 20_000):
-        part = slice(begin, begin + 20_000)
-        np.add.at(latent, rows[part], values[part, None].astype(np.float32) * vectors[cols[part]])
-    # at unit length in the latent space: passages that the factors hold badly are searched for as well as others
-    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-6)[:, None]
-    _, lengths = stripped(texts)
-    run = gram_hashes(cp, RUN)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    inside = owner[: len(run)] == owner[RUN - 1 : RUN - 1 + len(run)] if len(run) else np.empty(0, bool)
-    order = np.argsort(run[inside], kind="stable")
-    return Index(slots, hashes, weights, float(np.sqrt(np.log(total + 1) + 1)), weights[:, None] * vectors, latent, ids[item_of], where[:, 1], run[inside][order], ids[owner[: len(run)][inside][order]])
+    groups = []
+    for first in range(0, len(item_of), RANK):
+        own = (rows >= first) & (rows < first + RANK)
+        terms, term = np.unique(cols[own], return_inverse=True)
+        row, value = rows[own] - first, values[own]
+        vectors = randomised_svd(row, term, value, (min(RANK, len(item_of) - first), len(terms)), RANK)
+        latent = np.zeros((min(RANK, len(item_of) - first), vectors.shape[1]), np.float32)
+        for begin in range(0, len(row), 20_000):
+            part = slice(begin, begin + 20_000)
+            np.add.at(latent, row[part], value[part, None].astype(np.float32) * vectors[term[part]])
+        # at unit length in the latent space: passages that the factors hold badly are searched for as well as others
+        latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-6)[:, None]
+        local = np.full(len(hashes), -1, np.int32)
+        local[terms] = np.arange(len(terms))
+        groups.append(Group(first, local, weights[terms, None] * vectors, latent))
+    return Index(slots, hashes, weights, float(np.sqrt(np.log(total + 1) + 1)), groups, ids[item_of], where[:, 1], _item_runs(items))
 
 
 def retrieved(texts: list[str], index: Index, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,34 +291,41 @@ def retrieved(texts: list[str], index: Index, cosine: float = COSINE) -> tuple[n
     known = term >= 0
     own = index.weights[term[known]].astype(np.float64) ** 2
     energy = np.bincount(block, minlength=n) * index.rest**2
-    inside = np.bincount(block[known], own, minlength=n)
-    energy += inside - np.bincount(block[known], minlength=n) * index.rest**2
+    energy += np.bincount(block[known], own, minlength=n) - np.bincount(block[known], minlength=n) * index.rest**2
     last = np.zeros(n, bool)
     last[base + blocks - 1] = True
     two = lambda x: x + np.where(last, 0, np.append(x[1:], 0))
-    whole, part = two(energy), two(inside)
-    maybe = part >= cosine**2 * np.maximum(whole, 1e-9)
-    maybe &= part > 0
-    needed = maybe | np.append(False, maybe[:-1] & ~last[:-1])
-    chosen = known & needed[block]
-    where, which = block[chosen], term[chosen]
-    latent = np.zeros((n if needed.any() else 0, index.vectors.shape[1]), np.float32)
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1)) if len(where) else np.empty(0, np.int64)
-    for begin in range(0, len(edges), 2_000):
-        e = edges[begin : begin + 2_000]
-        stop = edges[begin + 2_000] if begin + 2_000 < len(edges) else len(where)
-        latent[where[e]] = np.add.reduceat(index.vectors[which[e[0] : stop]], e - e[0], axis=0)
+    whole = two(energy)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = np.flatnonzero(maybe)
-    for begin in range(0, len(at), 4_000):
-        b = at[begin : begin + 4_000]
-        x = latent[b] + np.where(last[b], 0, 1)[:, None] * latent[np.minimum(b + 1, n - 1)]
-        size = np.sqrt(whole[b])
-        able = (x * x).sum(axis=1) >= (cosine * size) ** 2
-        b, x, size = b[able], x[able], size[able]
-        cos = (x @ index.passages.T) / size[:, None]
-        i, j = np.nonzero(cos >= cosine)
-        found.append((b[i], j, cos[i, j]))
+    spot, number = block[known], term[known]
+    for group in index.groups:
+        local = group.local[number]
+        mine = local >= 0
+        part = two(np.bincount(spot[mine], own[mine], minlength=n))
+        maybe = part >= cosine**2 * np.maximum(whole, 1e-9)
+        maybe &= part > 0
+        if not maybe.any():
+            continue
+        needed = maybe | np.append(False, maybe[:-1] & ~last[:-1])
+        chosen = mine & needed[spot]
+        where, which = spot[chosen], local[chosen]
+        row_of = np.cumsum(needed) - 1
+        latent = np.zeros((int(needed.sum()) + 1, group.vectors.shape[1]), np.float32)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1))
+        for begin in range(0, len(edges), 2_000):
+            e = edges[begin : begin + 2_000]
+            stop = edges[begin + 2_000] if begin + 2_000 < len(edges) else len(where)
+            latent[row_of[where[e]]] = np.add.reduceat(group.vectors[which[e[0] : stop]], e - e[0], axis=0)
+        at = np.flatnonzero(maybe)
+        for begin in range(0, len(at), 4_000):
+            b = at[begin : begin + 4_000]
+            x = latent[row_of[b]] + np.where(last[b], 0, 1)[:, None] * latent[row_of[np.minimum(b + 1, n - 1)]]
+            size = np.sqrt(whole[b])
+            able = (x * x).sum(axis=1) >= (cosine * size) ** 2
+            b, x, size = b[able], x[able], size[able]
+            cos = (x @ group.passages.T) / size[:, None]
+            i, j = np.nonzero(cos >= cosine)
+            found.append((b[i], group.first + j, cos[i, j]))
     if not found:
         return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0), cp, lengths)
     b, j, c = (np.concatenate(z) for z in zip(*found))
@@ -284,32 +333,30 @@ def retrieved(texts: list[str], index: Index, cosine: float = COSINE) -> tuple[n
     return owner, b - base[owner], j, c, cp, lengths
 
 
-def _run_pairs(owner: np.ndarray, block: np.ndarray, passage: np.ndarray, cp: np.ndarray, lengths: np.ndarray, index: Index) -> set[tuple[int, int]]:
-    """(text, item) with a common run of RUN characters near what was retrieved."""
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    spots = np.unique(np.stack([owner, block]), axis=1)
-    wanted = {(int(o), int(i)) for o, i in zip(owner, index.item_of[passage])}
-    windows = [np.arange(max(0, b * BLOCK - RUN), min(int(lengths[o]) - RUN, b * BLOCK + 3 * BLOCK) + 1) + begin[o] for o, b in spots.T]
-    texts = [np.full(len(w), o) for w, o in zip(windows, spots[0])]
-    if not windows or not sum(map(len, windows)):
-        return set()
-    at, text = np.concatenate(windows), np.concatenate(texts)
-    at, first = np.unique(at, return_index=True)
-    text = text[first]
-    h = gram_hashes(cp, RUN)[at]
-    lo, hi = np.searchsorted(index.runs, h, "left"), np.searchsorted(index.runs, h, "right")
-    hit = np.flatnonzero(hi > lo)
-    return {(int(text[k]), int(i)) for k in hit for i in index.run_items[lo[k] : hi[k]]} & wanted
-
-
-def _found(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _run_pairs(cp: np.ndarray, lengths: np.ndarray, runs: Runs) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) with a common run of RUN characters, and where the first one begins in either."""
+    h = gram_hashes(cp, RUN)
+    at = np.flatnonzero(runs.sieve[h >> U64(64 - SIEVE)])
+    lo, hi = np.searchsorted(runs.hashes, h[at], "left"), np.searchsorted(runs.hashes, h[at], "right")
+    held = hi > lo
+    at, lo, hi = at[held], lo[held], hi[held]
+    begin = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    text = np.searchsorted(np.cumsum(lengths), at, side="right")
+    inside = at + RUN <= begin[text] + lengths[text]
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for p, o, a, b in zip(at[inside].tolist(), text[inside].tolist(), lo[inside], hi[inside]):
+        for item, place in zip(runs.items[a:b].tolist(), runs.places[a:b].tolist()):
+            if (o, item) not in out and any(np.array_equal(t[place : place + RUN], cp[p : p + RUN]) for t in runs.texts[item]):
+                out[o, item] = (p - int(begin[o]), place)
+    return out
+
+
+def _found(batches: Iterator[pa.RecordBatch], runs: Runs) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         pairs = []
         for part in bundles([len(t) for t in texts], BUDGET):
-            owner, block, passage, _, cp, lengths = retrieved(texts[part], index)
-            if len(owner):
-                pairs += [(ids[part.start + o], i) for o, i in sorted(_run_pairs(owner, block, passage, cp, lengths, index))]
+            pairs += [(ids[part.start + o], i) for o, i in sorted(_run_pairs(*stripped(texts[part]), runs))]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])
 
 
@@ -350,9 +397,17 @@ def _compared(batches: Iterator[pa.RecordBatch], index: Index, items: dict[int,
         rows = []
         for part in bundles([len(t) for t in texts], BUDGET):
             owner, block, passage, cos, cp, lengths = retrieved(texts[part], index)
-            if not len(owner):
-                continue
-            exact = _run_pairs(owner, block, passage, cp, lengths, index)
+            exact = _run_pairs(cp, lengths, index.runs)
+            # a run whose passages are below the cosine is compared with whatever cosine the passages around it have
+            for o, i in exact.keys() - set(zip(owner.tolist(), index.item_of[passage].tolist())):
+                _, b, p, c, _, _ = retrieved([texts[part][o]], index, 0.0)
+                near = (index.item_of[p] == i) & (abs(b - exact[o, i][0] // BLOCK) <= 2)
+                if not near.any():
+                    k = np.flatnonzero(index.item_of == i)
+                    b, p, c = np.array([exact[o, i][0] // BLOCK]), k[abs(index.place_of[k] * step - exact[o, i][1]).argmin()][None], np.zeros(1)
+                    near = np.ones(1, bool)
+                owner, block = np.append(owner, np.full(near.sum(), o)), np.append(block, b[near])
+                passage, cos = np.append(passage, p[near]), np.append(cos, c[near])
             begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for o, b, p, c in zip(owner.tolist(), block.tolist(), passage.tolist(), cos.tolist()):
@@ -385,9 +440,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").where("length(text) > 0 and doc_id is not null")
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint")
     for block in item_blocks(items):
-        index = built(block, texts)
-        if index is not None:
-            out = out.unionByName(texts.mapInArrow(partial(_found, index=index), "doc_id bigint, item_id bigint"))
+        out = out.unionByName(texts.mapInArrow(partial(_found, runs=_item_runs(block)), "doc_id bigint, item_id bigint"))
     return out.distinct()
 
 
