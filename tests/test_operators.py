@@ -224,6 +224,36 @@ def test_data_filter_reasons(spark):
     assert got == {1: "table data", 2: "URLs alone", 3: None, 4: "JSON data", 5: "log", 6: "word list", 7: "numbers and codes", 10: None}
 
 
+def test_data_filter_counts_cjk_cells_and_numbers(spark):
+    texts = {
+        1: "\n".join("春天来了河边的小路上开满了花我们慢慢走着看山" for _ in range(25)),
+        2: "\n".join("the mirror covers the river, before our quiet ledger restores it" for _ in range(25)),
+        3: "\n".join(f"{i}; {i * i}" for i in range(30)),
+        4: "\n".join("a,b" if i % 3 else "one word more" for i in range(30)),
+        5: "\n".join("春\t天" for _ in range(30)),
+        6: "\n".join(f"{i}. the mirror covers the quiet river" for i in range(30)), 7: "\n".join(["{", '"a": 1', "}"] * 9),
+    }
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    got = {r["id"]: r["reason"] for r in datafilter.features(df).select("id", datafilter.reason().alias("reason")).collect()}
+    assert got == {1: None, 2: None, 3: "URLs or numbers alone", 4: "table data", 5: "table data", 6: None, 7: "JSON data"}
+
+
+def test_code_and_sql_reasons(spark):
+    code = {
+        1: "# @generated\nx = 1", 2: "x = 1\n" * 12 + "# DO NOT EDIT", 3: "a" * 501, 4: "a" * 500 + "\n\n",
+        5: "\n".join(f"  async def f__mutmut_{i}(x):" for i in range(3)), 6: "def f__mutmut_1():\ndef f__mutmut_2():", 7: None,
+    }
+    rows = spark.createDataFrame(list(code.items()), "id bigint, text string")
+    got = {r[0]: r[1] for r in rows.select("id", datafilter.code_reason("text")).collect()}
+    assert got == {1: "generated code", 2: None, 3: "minified code", 4: None, 5: "mutation-testing copy", 6: None, 7: None}
+    sql = {
+        1: "CREATE TABLE t (a int);\ninsert into t\n values (1),\n (2);", 2: "COPY t FROM stdin;\n1\n2\n3\n\\.\n", 3: "CREATE TABLE t (\n a int\n);\nINSERT INTO t VALUES (1);", 4: "",
+        5: "COPY t FROM stdin;\n1\n\\.\nselect 1",
+    }
+    rows = spark.createDataFrame(list(sql.items()), "id bigint, text string")
+    assert {r[0]: r[1] for r in rows.select("id", datafilter.sql_reason("text")).collect()} == {1: "SQL data", 2: "SQL data", 3: None, 4: None, 5: None}
+
+
 def test_secrets_overlap_and_rules(tmp_path):
     key = "AK" + "IA" + "QX7PEXAMPLE0CANA"
     assert [k for k, _, _ in privacy.find_secrets(f"k = {key}")] == ["aws-access-key"]

@@ -17,10 +17,25 @@ def shape(text: Column | str) -> Column:
     return F.regexp_replace(s, r"(.)\1+", "$1")
 
 
+CJK = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]"
+NUMBERS = r"(?U)^[-+.,:;/|eE\d\s]*\d[-+.,:;/|eE\d\s]*$"
+#: Words that a cell of a table has at most.
+CELL = 4
+
+
+def word_count(text: Column) -> Column:
+    """Pieces between blanks that hold a letter, a CJK character counting as half a word."""
+    pieces = F.size(F.filter(F.split(F.regexp_replace(text, CJK, " "), r"(?U)\s+"), lambda x: x.rlike(r"\p{L}")))
+    return (F.length(text) - F.length(F.regexp_replace(text, CJK, ""))) / 2 + pieces
+
+
 def features(texts: DataFrame) -> DataFrame:
     """Of (id, text) for each text with a line that is not blank: lines, and shares of letters among what is not blank,
     of characters in lines of six words or more, of lines with the most frequent time-stamp-like start, of lines in the
-    best delimiter's modal count, of JSON-like, digit-led and address lines; characters in all."""
+    best delimiter's modal count, of JSON-like, digit-led and address lines; characters in all. Beside these, as the filter
+decides by them: `prose`, the share in lines of six words with CJK characters as half words; `rows`, the share of lines
+that have the modal count of a delimiter and no cell of more than CELL words; `listed`, of addresses and numbers alone; `records`, of
+    lines that begin like JSON; `dated`, of those that begin with a long number, date or time, not with a list's number."""
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     kept_lines = texts.where("text is not null").select("id", F.filter(F.transform(lines("text"), strip), lambda x: x != "").alias("l"))
     rows = kept_lines.select("id", F.size("l").alias("total"), F.posexplode("l").alias("n", "line"))
@@ -32,7 +47,7 @@ def features(texts: DataFrame) -> DataFrame:
     stamp = F.when(F.size(F.regexp_extract_all(start, F.lit(r"(\d+)"), F.lit(1))) >= 2, shape(start))
     delimited = [(d, F.size(F.split("line", e)) - 1) for d, e in ((",", ","), ("tab", "\t"), (";", ";"), ("|", r"\|"))]
     rows = rows.select(
-        "id", "n", "line", stamp.alias("stamp"), *[F.when(c > 0, c).alias(f"by_{d}") for d, c in delimited],
+        "id", "n", "line", word_count(F.col("line")).alias("read"), stamp.alias("stamp"), *[F.when(c > 0, c).alias(f"by_{d}") for d, c in delimited],
         F.length(F.regexp_replace("line", r"\s", "")).alias("dense"), F.length(F.regexp_replace("line", r"[^\p{L}\p{M}]", "")).alias("letters"), words.alias("words"), F.length("line").alias("size"),
     )
 
@@ -42,18 +57,25 @@ def features(texts: DataFrame) -> DataFrame:
         F.sum("size").alias("chars"),
         (F.sum("letters") / F.sum("dense")).alias("letters"),
         (F.coalesce(F.sum(F.when(F.col("words") >= 6, F.col("size"))), F.lit(0)) / F.sum("size")).alias("long"),
+        (F.coalesce(F.sum(F.when(F.col("read") >= 6, F.col("size"))), F.lit(0)) / F.sum("size")).alias("prose"),
+        share(F.col("line").rlike(r"^(\S+://\S+|\S+@\S+\.\S+)$") | F.col("line").rlike(NUMBERS)).alias("listed"),
+        share(F.col("line").rlike(r'^[{}\[\]"]')).alias("records"),
+        share(F.col("line").rlike(r"(?U)^(\d{3,}|\d{1,4}[-/.:]\d{1,2}[-/.:]\d{1,4})")).alias("dated"),
         share(F.col("line").rlike("^[0-9]")).alias("digit_led"),
         share(F.col("line").rlike(r"^(https?://\S+|\S+@\S+\.\S+)$")).alias("addresses"),
         share(F.col("line").rlike(r'^[\[{"].*[\]},:]$')).alias("json"),
     )
-    # the largest count of one value of each kind: one more pass over the lines, aggregated before it is exchanged
-    kinds = ["stamp", *(f"by_{d}" for d, _ in delimited)]
-    values = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds))
-    counts = rows.select("id", F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v")).groupBy("id", "v.kind", "v.value").agg(F.count("*").alias("times"))
-    most = counts.groupBy("id").agg(F.max(F.when(F.col("kind") == "stamp", F.col("times"))).alias("stamp"), F.max(F.when(F.col("kind") != "stamp", F.col("times"))).alias("fields"))
+    # one more pass over the lines, aggregated before it is exchanged: how often each start and each number of delimiters
+    # occurs, and in lines with short cells. A delimiter's mode may be none; of equally frequent ones it is the first seen
+    short = lambda e: F.forall(F.split("line", e, -1), lambda x: word_count(x) <= CELL)
+    cells = [F.struct(F.lit(d).alias("kind"), F.coalesce(F.col(f"by_{d}"), F.lit(0)).cast("string").alias("value"), F.coalesce(F.when(F.col(f"by_{d}") > 0, short(e)), F.lit(False)).alias("short")) for d, e in ((",", ","), ("tab", "\t"), (";", ";"), ("|", r"\|"))]
+    values = F.array(F.struct(F.lit("stamp").alias("kind"), F.col("stamp").alias("value"), F.lit(False).alias("short")), *cells)
+    counts = rows.select("id", "n", F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("v")).groupBy("id", "v.kind", "v.value").agg(F.count("*").alias("times"), F.min("n").alias("first"), F.count_if("v.short").alias("rows"))
+    kinds = counts.groupBy("id", "kind").agg(F.max(F.when(F.col("value") != "0", F.col("times"))).alias("times"), F.max_by("rows", F.struct("times", -F.col("first"))).alias("rows"))
+    most = kinds.groupBy("id").agg(F.max(F.when(F.col("kind") == "stamp", F.col("times"))).alias("stamp"), F.max(F.when(F.col("kind") != "stamp", F.col("times"))).alias("fields"), F.max("rows").alias("rows"))
     out = out.join(most, "id", "left")
     portion = lambda c: (F.coalesce(c, F.lit(0)) / F.col("lines"))
-    return out.select("id", "lines", "chars", "letters", "long", "digit_led", "addresses", "json", portion(F.col("stamp")).alias("stamps"), portion(F.col("fields")).alias("fields"))
+    return out.select("id", "lines", "chars", "letters", "long", "digit_led", "addresses", "json", portion(F.col("stamp")).alias("stamps"), portion(F.col("fields")).alias("fields"), "prose", portion(F.col("rows")).alias("rows"), "listed", "records", "dated")
 
 
 def reason() -> Column:
@@ -62,9 +84,49 @@ def reason() -> Column:
     return F.when(
         ~short,
         F.when(F.col("addresses") >= 0.9, "URLs alone")
-        .when(F.col("json") >= 0.6, "JSON data")
-        .when(F.col("fields") >= 0.6, "table data")
+        .when(F.col("listed") >= 0.9, "URLs or numbers alone")
+        .when(F.col("records") >= 0.6, "JSON data")
+        .when(F.col("rows") >= 0.6, "table data")
         .when(F.col("letters") < 0.5, "numbers and codes")
-        .when((F.col("stamps") >= 0.5) | (F.col("digit_led") >= 0.7), "log")
-        .when(F.col("long") < 0.3, "word list"),
+        .when((F.col("stamps") >= 0.5) | (F.col("dated") >= 0.7), "log")
+        .when(F.col("prose") < 0.3, "word list"),
     ).when((F.col("lines") >= 3) & (F.col("chars") >= 40) & (F.col("letters") < 0.5), "numbers and codes")
+
+
+GENERATED = r"DO NOT EDIT|(?i:@generated\b|code generated by|auto-?generated (file|code)|this file (is|was) (automatically )?generated|generated by the protocol buffer compiler)"
+MUTANT = r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+__mutmut_\d+[ \t]*\("
+HEADER, MUTANTS, MINIFIED, SQL_ROWS = 10, 3, 500, 0.6
+
+
+def code_reason(text: Column | str) -> Column:
+    """Why a source text is not read: a tool wrote it, a mutation-testing copy, or minified; null for written code."""
+    parts = F.split(text, "\n")
+    kept = F.filter(parts, lambda x: x.rlike(r"(?U)\S"))
+    mean = F.aggregate(kept, F.lit(0), lambda a, x: a + F.length(x)) / F.size(kept)
+    return (
+        F.when(F.array_join(F.slice(parts, 1, HEADER), "\n").rlike(GENERATED), "generated code")
+        .when(F.size(F.regexp_extract_all(text, F.lit(MUTANT), F.lit(0))) >= MUTANTS, "mutation-testing copy")
+        .when((F.size(kept) > 0) & (mean > MINIFIED), "minified code")
+    )
+
+
+def sql_reason(text: Column | str) -> Column:
+    """SQL data where most lines are rows: of INSERT statements up to their semicolon, or of a COPY from stdin."""
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    kept = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    # state 1: in a COPY block; 2: in an INSERT statement
+    state = F.struct(F.lit(0).alias("rows"), F.lit(0).alias("state"))
+
+    def step(a: Column, x: Column) -> Column:
+        copying, inserting = a["state"] == 1, (a["state"] == 2) | x.rlike(r"(?i)^INSERT\s+INTO\b")
+        row = F.when(copying, x != "\\.").otherwise(inserting)
+        after = (
+            F.when(copying, F.when(x != "\\.", 1).otherwise(0))
+            .when(inserting, F.when(x.endswith(";"), 0).otherwise(2))
+            .when(F.upper(x).startswith("COPY ") & F.upper(x).endswith("FROM STDIN;"), 1)
+            .otherwise(0)
+        )
+        return F.struct((a["rows"] + row.cast("int")).alias("rows"), after.alias("state"))
+
+    rows = F.aggregate(kept, state, step)["rows"]
+    return F.when((F.size(kept) > 0) & (rows / F.size(kept) >= SQL_ROWS), "SQL data")
