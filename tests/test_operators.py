@@ -254,6 +254,26 @@ def test_code_and_sql_reasons(spark):
     assert {r[0]: r[1] for r in rows.select("id", datafilter.sql_reason("text")).collect()} == {1: "SQL data", 2: "SQL data", 3: None, 4: None, 5: None}
 
 
+def test_citations_hold_whole_sentences(spark):
+    lead = "The mirror covers the river before our quiet ledger"
+    answers = {
+        1: f"{lead} restores it. [N1]\n\n{lead} breaks it. [N1]",  # departs from the source after 40 characters
+        2: "our quiet ledger restores it. [N1] Nothing is cited here.",  # from the middle on
+        3: f"{lead} restores it. [N1, W2]",  # W2 is not needed
+        4: "restores it. An early draft, [N1, W2]\n*An early draft* [W2]",
+        5: "An early draft. [W9]", 6: None, 7: "  ", 8: "restores it. An early draft. [N1, W2]",
+    }
+    texts = {"N1": f"{lead}\nrestores it.", "W2": "An early draft"}
+    a = spark.createDataFrame(list(answers.items()), "answer_id bigint, text string")
+    s = spark.createDataFrame([(i, k, t) for i in answers for k, t in texts.items()], "answer_id bigint, source_id string, text string")
+    got = {r["answer_id"]: tuple(r)[1:] for r in sessions.citation_counts(a, s).select("answer_id", "sentences", "cited", "supported", "citations", "needed").collect()}
+    # 8: two sentences, the last of both sources: N1 is not needed
+    assert got == {1: (2, 2, 1, 2, 1), 2: (2, 1, 1, 1, 1), 3: (1, 1, 1, 2, 1), 4: (3, 2, 1, 3, 1), 5: (1, 1, 0, 1, 0), 7: (0, 0, 0, 0, 0), 8: (2, 1, 1, 2, 1)}
+    joined = spark.createDataFrame([(1, "restores it: an early draft here [N1, W2]")], "answer_id bigint, text string")
+    parts = spark.createDataFrame([(1, "N1", "he restores it: an"), (1, "W2", "early draft here")], "answer_id bigint, source_id string, text string")
+    assert sessions.citation_counts(joined, parts).select("supported", "needed").first() == (1, 2)
+
+
 def test_secrets_overlap_and_rules(tmp_path):
     key = "AK" + "IA" + "QX7PEXAMPLE0CANA"
     assert [k for k, _, _ in privacy.find_secrets(f"k = {key}")] == ["aws-access-key"]

@@ -49,3 +49,38 @@ def islands(rows: DataFrame, key: str, order: str, same: Column) -> DataFrame:
     """Runs of neighbouring rows for which `same` holds from one to the next, numbered."""
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("starts", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("starts").over(w)).drop("starts")
+
+
+_CITE = r"\[(?:[NW][0-9]+)(?:\s*,\s*[NW][0-9]+)*\]"
+_CLOSED = "[*\"'”’)]*"
+#: A sentence with what ends it: citations after its mark belong to it.
+_SENTENCE = rf"(?s)(.*?(?:[.!?。]{_CLOSED}(?:\s*{_CITE}\s*)+{_CLOSED}[.!?。]?|[.!?。]{_CLOSED}(?=\s)|\n+|\z))"
+
+
+def citation_counts(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each answer (answer_id, text): its sentences; those with a citation; those of them whose cited sources, put
+    together, hold the whole sentence; citations; and the citations of supported sentences that are needed: not those
+    whose source does not hold the sentence while the others do without it. Sources are (answer_id, source_id, text)."""
+    flat = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    texts = sources.groupBy("answer_id", "source_id").agg(F.min("text").alias("text")).where("source_id is not null and text is not null")
+    texts = texts.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", flat("text")))).alias("held"))
+    parts = F.filter(F.regexp_extract_all("text", F.lit(_SENTENCE), F.lit(1)), lambda x: x.rlike(r"(?U)\S"))
+    rows = answers.where("text is not null").select("answer_id", F.explode_outer(parts).alias("sentence")).join(texts, "answer_id", "left")
+    groups = F.regexp_extract_all("sentence", F.lit(rf"({_CITE})"), F.lit(1))
+    ids = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, r"[\[\]\s]", ""), ",")))
+    bare = F.regexp_replace(F.regexp_replace("sentence", _CITE, ""), "[*_#>`\"“”]", "")
+    bare = F.regexp_replace(flat(bare), r"[\s.!?。]+$", "")
+    rows = rows.select("answer_id", "sentence", ids.alias("ids"), bare.alias("bare"), "held")
+    rows = rows.withColumn("theirs", F.transform("ids", lambda i: F.col("held")[i]))
+    known = (F.col("bare") != "") & F.forall("theirs", lambda t: t.isNotNull())
+    rows = rows.withColumn("holds", (F.size("ids") > 0) & F.coalesce(known & F.array_join("theirs", " ").contains(F.col("bare")), F.lit(False)))
+    places = F.sequence(F.lit(0), F.size("ids") - 1)
+    rest = lambda k: F.array_join(F.filter("theirs", lambda t, j: j != k), " ")
+    needed = F.filter(places, lambda k: (F.size("ids") == 1) | F.get("theirs", k).contains(F.col("bare")) | ~rest(k).contains(F.col("bare")))
+    return rows.groupBy("answer_id").agg(
+        F.count("sentence").alias("sentences"),
+        F.count_if(F.size("ids") > 0).alias("cited"),
+        F.count_if("holds").alias("supported"),
+        F.coalesce(F.sum(F.greatest(F.size("ids"), F.lit(0))), F.lit(0)).alias("citations"),
+        F.coalesce(F.sum(F.when(F.col("holds"), F.size(needed))), F.lit(0)).alias("needed"),
+    )

@@ -145,15 +145,8 @@ def quotes_in_sources(spark, d):
 
 @query()
 def citation_scores(spark, d):
-    """Sentences, those with a citation, and citations whose source holds a word run of the sentence."""
-    sentence = F.explode(F.split("text", r"(?<=[.!?。])\s+(?!\[)|\n+")).alias("sentence")
-    rows = _turns(spark, d).where("text is not null").select("answer_id", sentence).where("sentence rlike '[\\\\p{L}]'").withColumn("ids", T.cited_ids("sentence"))
-    s = table(spark, d, "sources").select("answer_id", "source_id", "text").dropDuplicates(["answer_id", "source_id"])
-    cited = rows.select("answer_id", "sentence", F.explode("ids").alias("source_id")).join(s, ["answer_id", "source_id"], "left")
-    bare = F.trim(F.regexp_replace("sentence", r"\s*\[[NW][^\]]*\]|[\"“”]", ""))
-    support = cited.groupBy("answer_id").agg(F.count("*").alias("citations"), F.count_if(F.coalesce(F.col("text").contains(F.substring(bare, 1, 40)), F.lit(False))).alias("supported"))
-    counts = rows.groupBy("answer_id").agg(F.count("*").alias("sentences"), F.count_if(F.size("ids") > 0).alias("cited"))
-    return counts.join(support, "answer_id", "left").na.fill(0, ["citations", "supported"])
+    """Sentences, those with a citation, those that their cited sources hold together, citations and those needed."""
+    return sessions.citation_counts(_turns(spark, d).select("answer_id", "text"), table(spark, d, "sources").select("answer_id", "source_id", "text"))
 
 
 @query(r"""WITH n AS (SELECT DISTINCT record_id, text FROM retained_unicode), q AS (SELECT record_id, left(text, 25) AS quote FROM n WHERE length(text) >= 25), s AS (SELECT q.record_id, min(n.record_id) AS first_holder, count(*) AS holders FROM q JOIN n ON starts_with(n.text, q.quote) GROUP BY q.record_id) SELECT * FROM s""")
