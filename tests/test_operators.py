@@ -274,6 +274,17 @@ def test_citations_hold_whole_sentences(spark):
     assert sessions.citation_counts(joined, parts).select("supported", "needed").first() == (1, 2)
 
 
+def test_grep_returns_every_match(spark, tmp_path):
+    from tracelode.plans import search
+
+    hot = "\n".join(f"tokenizer {i}" for i in range(50))
+    rows = [(1, "/a", 1, "line", hot), (2, "/b", 7, "line", "x\nVocabulary\ny"), (3, "/b", 9, "page", "tokenizer")]
+    spark.createDataFrame(rows, "id bigint, path string, start bigint, unit string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["path"], r["turn"], r["line_no"]) for r in search.grep_matches(spark, str(tmp_path)).collect()}
+    assert got == {("/a", i + 1, i + 1) for i in range(50)} | {("/b", 1, 8)}
+    assert {(p, t, n) for p, t, n in got if t <= 3} == {(r["path"], r["turn"], r["line_no"]) for r in search.grep(spark, str(tmp_path)).collect()}
+
+
 def test_secrets_overlap_and_rules(tmp_path):
     key = "AK" + "IA" + "QX7PEXAMPLE0CANA"
     assert [k for k, _, _ in privacy.find_secrets(f"k = {key}")] == ["aws-access-key"]

@@ -293,14 +293,24 @@ def outline(spark, d):
 @query(r"""WITH l AS (SELECT id, path, CAST("start" AS BIGINT) AS s, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT DISTINCT id, path, "start", text FROM chunks WHERE text IS NOT NULL AND coalesce(unit, 'line') = 'line')),
 m AS (SELECT id, path, s + k - 1 AS line_no, line FROM l WHERE regexp_matches(line, '(?i)\b(tokenizer|vocabulary)\b')),
 t AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no, id) AS turn FROM m)
-SELECT turn, path, id, line_no, length(line) AS chars FROM t WHERE turn <= 3""")
-def grep(spark, d):
-    """Lines that match a pattern, each file's first, second and third: no file hides the others."""
+SELECT turn, path, id, line_no, length(line) AS chars FROM t""")
+def grep_matches(spark, d):
+    """All lines that match a pattern, numbered within their file: in order of turn no file hides the others, and
+    nothing is left out; a page of a given size is the reader's, with the count of these rows as its total."""
     rows = table(spark, d, "chunks").where("text is not null and coalesce(unit, 'line') = 'line'").select("id", "path", "start", "text").distinct()
     lines = rows.select("id", "path", F.col("start").cast("bigint").alias("s"), F.posexplode(F.split("text", "\n")).alias("k", "line")).where(F.col("line").rlike(r"(?i)\b(tokenizer|vocabulary)\b"))
     m = lines.select("id", "path", (F.col("s") + F.col("k")).alias("line_no"), "line")
     turn = F.row_number().over(Window.partitionBy("path").orderBy("line_no", "id"))
-    return m.withColumn("turn", turn).where("turn <= 3").select(F.col("turn").cast("bigint").alias("turn"), "path", "id", "line_no", F.length("line").cast("bigint").alias("chars"))
+    return m.withColumn("turn", turn).select(F.col("turn").cast("bigint").alias("turn"), "path", "id", "line_no", F.length("line").cast("bigint").alias("chars"))
+
+
+@query(r"""WITH l AS (SELECT id, path, CAST("start" AS BIGINT) AS s, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT DISTINCT id, path, "start", text FROM chunks WHERE text IS NOT NULL AND coalesce(unit, 'line') = 'line')),
+m AS (SELECT id, path, s + k - 1 AS line_no, line FROM l WHERE regexp_matches(line, '(?i)\b(tokenizer|vocabulary)\b')),
+t AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no, id) AS turn FROM m)
+SELECT turn, path, id, line_no, length(line) AS chars FROM t WHERE turn <= 3""")
+def grep(spark, d):
+    """Lines that match a pattern, each file's first, second and third: no file hides the others."""
+    return grep_matches(spark, d).where("turn <= 3")
 
 
 @query(r"""SELECT DISTINCT id, CASE WHEN length(line) <= 60 THEN line ELSE substr(line, greatest(1, p - 30), 60) END AS snippet FROM (SELECT id, line, length(regexp_extract(line, '^(.*?)tokenizer', 1)) + 1 AS p FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM chunks) WHERE contains(line, 'tokenizer'))""")
