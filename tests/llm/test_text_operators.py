@@ -108,24 +108,32 @@ ALIKE = [("Ｆｕｌｌ　width", "Full width"), ("café", "café"), ("a​b­c
 UNLIKE = [("a", "A"), ("cafe", "café"), ("x²", "x2"), ("a\nb", "a b"), ("a", "b"), ("O0", "OO"), ("①", "1"), ("ế", "ê")]
 
 
-@pytest.mark.parametrize(("a", "b"), ALIKE)
-def test_same_look(a, b):
-    x, y = looks.consistent([a, b])
-    assert x == y == looks.consistent([x])[0]
+def consistent(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    return [r["text"] for r in looks.forms(df).orderBy("id").collect()]
 
 
-@pytest.mark.parametrize(("a", "b"), UNLIKE)
-def test_other_look(a, b):
-    x, y = looks.consistent([a, b])
-    assert x != y
+def plainly(text):
+    """The same form by the standard library alone."""
+    return unicodedata.normalize("NFC", "".join(map(looks._mapped, text)))
+
+
+def test_same_look_and_other_look(spark):
+    flat = [t for pair in ALIKE + UNLIKE for t in pair]
+    got = consistent(spark, flat)
+    assert got == list(map(plainly, flat))
+    for (a, b), x, y in zip(ALIKE + UNLIKE, got[::2], got[1::2]):
+        assert (x == y) == ((a, b) in ALIKE), (a, b)
+    assert consistent(spark, got) == got
 
 
 def test_forms_keep_plain_text_and_pairs_fold_copies(spark):
     rng = random.Random(2)
-    for _ in range(50):
-        t = unicodedata.normalize("NFC", "".join(rng.choice("abcXYZ éèüßđ中文あア한글กิहिнж\n\t.²") for _ in range(80)))
-        got = looks.consistent([t])[0]
-        assert got == t.translate(str.maketrans({"а": "a"}))
+    texts = [unicodedata.normalize("NFC", "".join(rng.choice("abcXYZ éèüßđ中文あア한글กิहिнж\n\t.²") for _ in range(80))) for _ in range(50)]
+    assert consistent(spark, texts) == [t.translate(str.maketrans({"а": "a"})) for t in texts]
+    odd = ["".join(rng.choice("aée\u0301\u0323\u0307\u200b\u0345\uff9e\uff76한\u1112\u1161\u11ab\u0344ﬃ\u00a0сХ\U0001d400\u0c56\u0f71\u0f72") for _ in range(40)) for _ in range(200)]
+    assert consistent(spark, odd) == list(map(plainly, odd))
+    assert consistent(spark, [None, "", "x" * 200_000 + "\u200b"]) == [None, "", "x" * 200_000]
     rows = [(1, "paypal"), (2, "pаypal"), (3, "paypal"), (3, "paypal"), (4, None), (5, ""), (6, "​"), (7, "Paypal"), (None, "pаypal")]
     df = spark.createDataFrame(rows, "id bigint, text string").selectExpr("*", "'x' AS look", "'y' AS exact")
     assert {tuple(r) for r in looks.look_alike_pairs(df).collect()} == {(1, 2), (2, 3), (5, 6)}

@@ -1,9 +1,13 @@
 """Problem 5: one consistent form for texts that look the same.
 
-Batches of texts are exploded into arrays of positioned code points and joined, by code point, with one mapping: its
-canonical and same-shape compatibility decomposition, its look-alike of another script, one kind of space, nothing for
-invisible characters. The mapping is as large as Unicode and no larger, and is built from the character database once
-in each worker. The strings are then rebuilt in order; combining marks are ordered by class and recomposed.
+Texts are exploded into rows of positioned code points and joined with one broadcast mapping: a code point's canonical
+and same-shape compatibility decomposition, its look-alike of another script, one kind of space, nothing for invisible
+characters. The mapping is as large as Unicode and no larger. Combining marks are then ordered by their class within
+what they stand on, the strings rebuilt in that order, and letters and marks recomposed.
+
+A stretch of code points that all stand for themselves travels as one row, as it comes back as it was; a text of
+such alone is its own form and is not exploded. Texts are exchanged once, before they are exploded: rows of a text stay
+together from there on.
 
 Case, other or missing accents, raised and lowered digits, enclosed and vertical forms, line breaks and tabs stay as
 they are, so texts that look different stay different.
@@ -14,18 +18,16 @@ only look like the empty text; repeated rows count once. Extra columns are not r
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tracelode.llm.arrays import bundles, points
+from tracelode.tables import written
 
 # Letters of other scripts that have the shape of a Latin letter.
 LOOK_ALIKES = {
@@ -63,84 +65,89 @@ def _mapped(c: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def mapping() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point its replacement if that is one code point, its number of code points, and where the longer
-    ones begin in the pool."""
-    one = np.arange(sys.maxunicode + 1, dtype=np.uint32)
-    count = np.ones(sys.maxunicode + 1, np.int8)
-    begin = np.zeros(sys.maxunicode + 1, np.int32)
-    pool: list[int] = []
-    for code in range(sys.maxunicode + 1):
+def mapping() -> dict[str, list[tuple[int, str, int]]]:
+    """For each code point that does not stand for itself, or is a mark with a class, what stands for it: parts (place,
+    code point, class), in canonical decomposition."""
+    out = {}
+    for code in (*range(0x30000), *range(0xE0000, 0xE0200)):  # the planes between have ideographs alone, or nothing
         if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xF900 or 0x20000 <= code < 0x2F800 or 0x3400 <= code < 0xA000:
             continue  # Hangul syllables, surrogates, private use, ideographs: they stand for themselves
         c = chr(code)
         if unicodedata.category(c) == "Cn" and code not in INVISIBLE:
             continue
         to = _mapped(c)
-        if to == c:
+        if to != c or unicodedata.combining(c):
+            out[c] = [(i, x, unicodedata.combining(x)) for i, x in enumerate(unicodedata.normalize("NFD", to))]
+    return out
+
+
+#: Least code points of a range of the class below above ASCII. The class has few ranges, as each of them is tried for each
+#: character, which costs more than a row for a letter that stands alone.
+RANGE = 90
+LETTERS = ("LATIN CAPITAL LETTER", "LATIN SMALL LETTER LONG S", "ARABIC", "KATAKANA LETTER", "CJK", "HANGUL SYLLABLE")
+
+
+@lru_cache(maxsize=1)
+def _plain() -> str:
+    """A character class of code points that stand for themselves: the longest ranges of letters without one of the
+    mapping. Others may stand for themselves too; they are looked up."""
+    special, ranges = mapping(), [[0x20, 0x20]]
+    for code in (*range(0x21, 0x2000), *range(0x3000, 0xD7A4)):
+        c = chr(code)
+        if c in special or code > 0x7E and not c.isalpha():
             continue
-        count[code] = len(to)
-        if len(to) == 1:
-            one[code] = ord(to)
-        elif to:
-            begin[code] = len(pool)
-            pool += map(ord, to)
-    return one, count, begin, np.array(pool or [0], np.uint32)
-
-
-def consistent(texts: list[str]) -> list[str]:
-    """The consistent forms of a list of texts."""
-    one, count, begin, pool = mapping()
-    out: list[str] = []
-    for part in bundles([len(t) for t in texts], 2_000_000):
-        own = texts[part]
-        cp = points("".join(own))
-        n = count[cp]
-        lengths = np.array([len(t) for t in own], np.int64)
-        if (n == 1).all():
-            flat, ends = one[cp], np.cumsum(lengths)
+        if ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
         else:
-            where = np.concatenate(([0], np.cumsum(n.astype(np.int64))))
-            flat = np.repeat(one[cp], n)
-            for i in np.flatnonzero(n > 1):
-                flat[where[i] : where[i + 1]] = pool[begin[cp[i]] : begin[cp[i]] + n[i]]
-            ends = where[np.cumsum(lengths)]
-        whole = flat.tobytes().decode("utf-32-le", "surrogatepass")
-        at = 0
-        for e in ends.tolist():
-            out.append(unicodedata.normalize("NFC", whole[at:e]))  # orders marks by class and recomposes
-            at = e
-    return out
+            ranges.append([code, code])
+    return r"\t\n\r" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges if b < 0x80 or b - a >= RANGE - 1 and unicodedata.name(chr(a)).startswith(LETTERS))
+
 
+@F.pandas_udf(StringType())
+def _recomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-def _form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        at = [i for i, t in enumerate(texts) if t is not None]
-        forms: list[str | None] = [None] * len(texts)
-        for i, t in zip(at, consistent([texts[i] for i in at])):
-            forms[i] = t
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=["id", "text"])
 
+def _exploded(texts: DataFrame) -> DataFrame:
+    """(id, digest, form, copies) of texts with a code point of the mapping; equal rows are one, with their number."""
+    spark = texts.sparkSession
+    # bounded by Unicode: some ten thousand rows
+    parts = pa.array([[{"place": i, "part": x, "class": k} for i, x, k in v] for v in mapping().values()], pa.list_(pa.struct([("place", pa.int32()), ("part", pa.string()), ("class", pa.int32())])))
+    table = F.broadcast(spark.createDataFrame(pa.table({"sign": pa.array(mapping()), "parts": parts})))
+    tasks = max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions())
+    rows = texts.select("id", "text", F.md5("text").alias("digest")).repartition(tasks, "id")
+    rows = rows.groupBy("id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    signs = F.regexp_extract_all("text", F.lit(f"(?s)([{_plain()}]+|.)"), F.lit(1))
+    key = ["id", "digest", "copies"]
+    itself = F.array(F.struct(F.lit(0).alias("place"), F.col("sign").alias("part"), F.lit(0).alias("class")))
+    points = rows.select(*key, F.posexplode(signs).alias("position", "sign")).join(table, "sign", "left").select(*key, "position", F.explode_outer(F.coalesce("parts", itself)).alias("p")).select(*key, "position", "p.*")
+    # marks stand on the last code point without a class before them; among themselves they are ordered by class
+    within = Window.partitionBy("id", "digest").orderBy("position", "place")
+    placed = points.withColumn("base", F.sum(F.when(F.coalesce("class", F.lit(0)) == 0, 1).otherwise(0)).over(within))
+    pieces = F.sort_array(F.collect_list(F.struct("base", "class", "position", "place", "part")))
+    return placed.groupBy("id", "digest").agg(F.first("copies").alias("copies"), F.array_join(F.transform(pieces, lambda x: F.coalesce(x["part"], F.lit(""))), "").alias("ordered")).select("id", "digest", "copies", _recomposed("ordered").alias("form"))
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def of(t: str) -> bytes:
-        return xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
 
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t) for t in consistent(texts)], pa.binary()), pa.array([of(t) for t in texts], pa.binary())], names=["id", "look", "exact"])
+def _special() -> F.Column:
+    """Whether a text may have a code point of the mapping: one beyond ASCII, or a control character."""
+    return (F.octet_length("text") != F.length("text")) | F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 def forms(texts: DataFrame) -> DataFrame:
-    """(id, text) with every text in its consistent form."""
-    return texts.select("id", "text").mapInArrow(_form, "id bigint, text string")
+    """(id, text) with every text in its consistent form, as many rows as there are."""
+    texts = texts.select("id", "text")
+    special = _special()
+    changed = _exploded(texts.where(special)).select("id", F.col("form").alias("text"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).drop("one")
+    return texts.where(F.col("text").isNull() | ~special).unionByName(changed)
 
 
 def look_alike_pairs(texts: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of different ids whose texts look the same and are not equal. Equal texts are
     folded before the join, so a group of copies is never joined with itself."""
-    rows = texts.where("text is not null and id is not null").select("id", "text").mapInArrow(_digests, "id bigint, look binary, exact binary")
+    texts = texts.where("text is not null and id is not null").select("id", "text")
+    special = _special()
+    itself = texts.where(~special).select("id", F.md5("text").alias("look"), F.md5("text").alias("exact"))
+    rows = written(itself.unionByName(_exploded(texts.where(special)).select("id", F.md5("form").alias("look"), F.col("digest").alias("exact"))))
     alike = rows.groupBy("look", "exact").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1").select("look")
     few = rows.join(alike, "look", "left_semi").distinct()
     kinds = few.select("look", "exact").distinct()
