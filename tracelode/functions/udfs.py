@@ -8,11 +8,24 @@ import unicodedata
 
 import pandas as pd
 import regex
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tracelode.functions import text as T
+
+# Letters, marks and numbers that only scripts written without spaces use, beside those of the scripts
+# themselves; the scripts.
+UNSPACED_EXTRA = r"\x{2bc}\x{303}\x{305}\x{323}\x{331}\x{3006}\x{302a}-\x{302d}\x{3031}-\x{3035}\x{303c}\x{3099}\x{309a}\x{30fc}\x{3192}-\x{3195}\x{3220}-\x{3229}\x{3280}-\x{3289}\x{ff70}\x{ff9e}\x{ff9f}\x{1d360}-\x{1d371}"
+UNSPACED_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+#: The class as RE2 and Python's regex read it, and as Java does.
+UNSPACED = "".join(rf"\p{{{s}}}" for s in UNSPACED_SCRIPTS) + UNSPACED_EXTRA
+_JAVA_UNSPACED = "".join(rf"\p{{Is{s}}}" for s in UNSPACED_SCRIPTS) + UNSPACED_EXTRA
+#: Ranges with all code points that composing may change.
+_COMPOSED = r"\p{M}\x{374}\x{37e}\x{387}\x{1100}-\x{11ff}\x{1f71}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{f900}-\x{fb4f}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}"
+
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
-_UNSPACED = regex.compile(r"[\p{scx=Han}\p{scx=Hiragana}\p{scx=Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
+_PIECE = regex.compile(rf"(?P<run>(?:[{re.sub(r'x{(\w+)}', lambda m: f'U{int(m[1], 16):08x}', UNSPACED)}]\p{{M}}*)+)|.", regex.S)
 _CLUSTER = regex.compile(r"\X")
 
 
@@ -28,17 +41,26 @@ def words_of(text: str | None) -> list[str]:
         return []
     out: list[str] = []
     for word in _WORD.findall(unicodedata.normalize("NFC", text).lower()):
-        at = 0
-        for m in _UNSPACED.finditer(word):
-            if m.start() > at:
-                out.append(word[at : m.start()])
-            out += cut_unspaced(m[0])
-            at = m.end()
-        if at < len(word):
-            out.append(word[at:])
+        spaced = 0  # where the stretch of spaced letters at hand begins
+        for m in _PIECE.finditer(word):
+            if m["run"]:
+                if m.start() > spaced:
+                    out.append(word[spaced : m.start()])
+                out += cut_unspaced(m[0])
+                spaced = m.end()
+        if spaced < len(word):
+            out.append(word[spaced:])
     return out
 
 
+def search_words(text: str) -> Column:
+    """words_of as a column: texts of spaced scripts in composed letters are cut by built-in expressions, the rest in Arrow
+    batches."""
+    c = F.col(text)
+    plain = (F.octet_length(c) == F.length(c)) | ~c.rlike(f"[{_JAVA_UNSPACED}{_COMPOSED}]")
+    return F.when(c.isNull() | plain, T.words(c)).otherwise(words(F.when(~plain, c)))
+
+
 def folded(text: str) -> str:
     """Without accents; đ counts as d."""
     t = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.operators.lexical import terms
 from tracelode.operators.ranking import top
 
 #: Queries in one block; a block is sent to every task, so its size does not grow with the data.
@@ -42,35 +41,59 @@ def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(part[j], pa.int64()), pa.array(score[i, j])], names=["qid", "id", "score"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ids, values) of at most BLOCK vectors in one row each, as bytes."""
+    for batch in batches:
+        for begin in range(0, len(batch), BLOCK):
+            own = batch.slice(begin, BLOCK)
+            ids = own.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([own.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], names=["ids", "values"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], n: int, same: bool) -> Iterator[pa.RecordBatch]:
+    """The n best of a block of rows for each query of the block that it met."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, own = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
+            q, x = np.frombuffer(row["queries"]).reshape(len(ids), -1), np.frombuffer(row["values"]).reshape(len(own), -1)
+            ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+            yield from _best(iter([pa.RecordBatch.from_arrays([pa.array(own), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["id", "vec"])]), ids, q, n, same)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, n: int, same: bool = True) -> DataFrame:
     """(qid, id, score, rank) of the n best dot products, rounded to 6 digits; vectors are (id, vec), queries (qid, vec),
-    both array<double> of one length without nulls. With same=False a row is not its own neighbour."""
-    rows = sorted(((r["qid"], r["vec"]) for r in queries.where("vec is not null").toLocalIterator()), key=lambda r: r[0])
-    parts = []
-    for begin in range(0, len(rows), BLOCK):
-        block = rows[begin : begin + BLOCK]
-        ids, q = np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)
-        parts.append(vectors.select("id", "vec").where("vec is not null").mapInArrow(partial(_best, ids=ids, queries=q, n=n, same=same), "qid bigint, id bigint, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "qid bigint, id bigint, score double, rank int")
-    return top(reduce(DataFrame.unionByName, parts), n)
+    both array<double> of one length without nulls. With same=False a row is not its own neighbour.
+
+    At most BLOCK queries are sent to the rows. More than that stay a table: each query block is laid beside every part of
+    the rows' blocks, and of each meeting only the n best of every query go on."""
+    vectors, queries = vectors.select("id", "vec").where("vec is not null"), queries.select("qid", "vec").where("vec is not null")
+    few = queries.limit(BLOCK + 1).toArrow().sort_by("qid")
+    found = "qid bigint, id bigint, score double"
+    if len(few) == 0:
+        return vectors.sparkSession.createDataFrame([], f"{found}, rank int")
+    if len(few) <= BLOCK:
+        ids = few.column("qid").to_numpy()
+        q = few.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return top(vectors.mapInArrow(partial(_best, ids=ids, queries=q, n=n, same=same), found), n)
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.sparkSession.sparkContext.defaultParallelism)
+    packed = "ids binary, values binary"
+    rows = vectors.mapInArrow(_blocks, packed).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    asked = queries.mapInArrow(_blocks, packed).select(F.col("ids").alias("qids"), F.col("values").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"))
+    return top(rows.join(asked, "part").select("ids", "values", "qids", "queries").mapInArrow(partial(_met, n=n, same=same), found), n)
 
 
 def hashed_vectors(tokens: DataFrame, key: str = "id", size: int = 256) -> DataFrame:
     """(key, vec) by a built-in embedder that needs no model: counts of words by the last byte of their MD5, at unit
-    length; a text without words has no vector."""
-    digit = lambda i: F.expr(f"locate(substring(m, {i}, 1), '0123456789abcdef') - 1")
-    rows = terms(tokens, key).groupBy(key, "term").agg(F.count("*").alias("n")).select(key, "n", F.md5("term").alias("m"))
-    counts = rows.groupBy(key, (digit(31) * 16 + digit(32)).alias("place")).agg(F.sum("n").cast("double").alias("n"))
-    lists = counts.groupBy(key).agg(F.collect_list("place").alias("places"), F.collect_list("n").alias("values"))
+    length; a text without words has no vector. One pass without an exchange."""
+    last = F.unhex(F.array_join(F.transform("tokens", lambda x: F.substring(F.md5(x), 31, 2)), ""))
 
-    def scattered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            x = np.zeros((len(batch), size))
-            x[row, batch.column(1).flatten().to_numpy(zero_copy_only=False)] = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            words = batch.column(1).to_pylist()
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            x = np.bincount(row * size + np.frombuffer(b"".join(words), np.uint8), minlength=size * len(words)).reshape(-1, size).astype(np.float64)
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            ends = pa.array(np.arange(0, size * len(batch) + 1, size, dtype=np.int32))
+            ends = pa.array(np.arange(0, size * len(words) + 1, size, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=[key, "vec"])
 
-    return lists.mapInArrow(scattered, f"{key} bigint, vec array<double>")
+    return tokens.where(F.size("tokens") > 0).select(key, last.alias("words")).mapInArrow(counted, f"{key} bigint, vec array<double>")

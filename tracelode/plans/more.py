@@ -18,10 +18,10 @@ from tracelode.tables import table
 def bm25_auto(spark, d):
     """Queries without accents search the corpus without accents, others as it is written."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    asked = table(spark, d, "chunks").where("id % 100 = 0 and text is not null").groupBy("id").agg(F.min("text").alias("text")).select(F.col("id").alias("qid"), F.array_join(F.slice(T.words("text"), 1, 8), " ").alias("q"))
-    asked = asked.select("qid", "q", (udfs.fold("q") != udfs.nfc("q")).alias("accented"))
-    plain = lexical.scores(texts.select("id", T.words("text").alias("tokens")), asked.where("accented").select("qid", T.words("q").alias("tokens")))
-    bare = lexical.scores(texts.select("id", T.words(udfs.fold("text")).alias("tokens")), asked.where("not accented").select("qid", T.words("q").alias("tokens")))
+    asked = table(spark, d, "chunks").where("id % 100 = 0 and text is not null").groupBy("id").agg(F.min("text").alias("text")).select(F.col("id").alias("qid"), "text")
+    asked = asked.withColumn("accented", udfs.fold("text") != udfs.nfc("text"))
+    plain = lexical.scores(texts.select("id", udfs.search_words("text").alias("tokens")), asked.where("accented").select("qid", udfs.search_words("text").alias("tokens")))
+    bare = lexical.scores(texts.withColumn("text", udfs.fold("text")).select("id", udfs.search_words("text").alias("tokens")), asked.where("not accented").select("qid", udfs.search_words("text").alias("tokens")))
     return ranking.top(plain.unionByName(bare).withColumn("score", F.round("score", 6)), 10)
 
 

@@ -1,6 +1,7 @@
 """Queries of retrieval: BM25, dense similarities, fusion, reranking, folding of copies, pages, places and browsing.
 
-Queries are every hundredth chunk (id divisible by 100), by its first eight words; they search all documents."""
+Queries are every hundredth chunk (id divisible by 100), by its whole text; they search all documents. Words are those of
+the index: composed, in lower case, with runs of scripts written without spaces in pairs of clusters."""
 
 from __future__ import annotations
 
@@ -10,25 +11,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
+from tracelode.functions import udfs
 from tracelode.operators import dense, lexical, ranking, stored
 from tracelode.plans.catalog import query
-from tracelode.plans.text import W_TEXT, WORDS
-from tracelode.tables import checkpoint_dir, cut, spread, table
+from tracelode.plans.text import SEARCH_WORDS
+from tracelode.tables import checkpoint_dir, cut, spread, table, written
 
-ASKED, DEPTH = 8, 100
+DEPTH = 100
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", T.words("text").alias("tokens"))
+    """The documents' words, cut once and written: statistics, postings, vectors and reranking read them from there."""
+    return written(spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", udfs.search_words("text").alias("tokens")))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").where("id % 100 = 0 and text is not null").groupBy("id").agg(F.min("text").alias("text"))
-    return rows.select(F.col("id").alias("qid"), F.slice(T.words("text"), 1, ASKED).alias("tokens")).where(F.col("text").rlike(T.WORD))
+    return rows.where(F.col("text").rlike(T.WORD)).select(F.col("id").alias("qid"), udfs.search_words("text").alias("tokens"))
 
 
-def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.scores(corpus(spark, d), questions(spark, d)).withColumn("score", F.round("score", 6))
+def lexical_scores(spark: SparkSession, d: str, words: DataFrame | None = None) -> DataFrame:
+    return lexical.scores(words or corpus(spark, d), questions(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
@@ -37,8 +40,8 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.orderBy("id")))
 
 
-TOKENS = f"t AS (SELECT doc_id AS id, {W_TEXT} AS w FROM documents), x AS (SELECT id, unnest(w) AS term FROM t)"
-QUERY = f"""qw AS (SELECT id AS qid, ({WORDS.format('text')})[1:{ASKED}] AS w FROM (SELECT id, min(text) AS text FROM chunks WHERE id % 100 = 0 AND text IS NOT NULL GROUP BY id)),
+TOKENS = f"t AS (SELECT doc_id AS id, {SEARCH_WORDS.format('text')} AS w FROM documents), x AS (SELECT id, unnest(w) AS term FROM t)"
+QUERY = f"""qw AS (SELECT id AS qid, {SEARCH_WORDS.format('text')} AS w FROM (SELECT id, min(text) AS text FROM chunks WHERE id % 100 = 0 AND text IS NOT NULL GROUP BY id)),
 q AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(w) AS term FROM qw) GROUP BY ALL)"""
 BM25 = f"""{TOKENS}, {QUERY}, st AS (SELECT count(*) AS n, avg(greatest(1, len(w))) AS avgdl FROM t),
 p AS (SELECT x.id, term, count(*) AS tf, any_value(greatest(1, len(w))) AS dl FROM x JOIN t USING (id) GROUP BY x.id, term), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -108,16 +111,16 @@ def word_overlap(spark, d):
     return rows.groupBy("qid").agg(F.count("*").alias("words"), F.count_if(F.coalesce("df", F.lit(0)) > 0.1 * F.col("n")).alias("common"), F.round(F.avg(F.col("df").isNotNull().cast("double")), 6).alias("known"))
 
 
-@query(f"WITH {TOKENS}, {QUERY}, p AS (SELECT id, term, count(*) AS tf FROM x GROUP BY ALL) SELECT qid, id, CAST(sum(tf * times) AS BIGINT) AS dot FROM p JOIN q USING (term) GROUP BY ALL HAVING sum(tf * times) >= 8")
+@query(f"WITH {TOKENS}, {QUERY}, p AS (SELECT id, term, count(*) AS tf FROM x GROUP BY ALL) SELECT qid, id, CAST(sum(tf * times) AS BIGINT) AS dot FROM p JOIN q USING (term) GROUP BY ALL")
 def sparse_dot(spark, d):
-    """Dot products of word counts, as of learned sparse weights, of 8 or more."""
+    """Dot products of word counts, as of learned sparse weights."""
     asked = questions(spark, d).select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
     p = lexical.postings(corpus(spark, d)).join(asked, "term")
-    return p.groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("dot")).where("dot >= 8")
+    return p.groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("dot"))
 
 
-def dense_top(spark: SparkSession, d: str) -> DataFrame:
-    return dense.nearest(dense.hashed_vectors(corpus(spark, d)), dense.hashed_vectors(questions(spark, d), "qid"), DEPTH)
+def dense_top(spark: SparkSession, d: str, words: DataFrame | None = None) -> DataFrame:
+    return dense.nearest(dense.hashed_vectors(words or corpus(spark, d)), dense.hashed_vectors(questions(spark, d), "qid"), DEPTH)
 
 
 @query(f"WITH {TOKENS}, hx AS (SELECT id, CAST('0x' || substr(md5(term), 31, 2) AS INT) AS dim, count(*) AS c FROM x GROUP BY ALL) SELECT id, count(*) AS dims, round(max(c) / sqrt(sum(c * c)), 6) AS highest FROM hx GROUP BY id")
@@ -131,10 +134,16 @@ def dense_hashed_top(spark, d):
     return dense_top(spark, d).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
-    asked = questions(spark, d)
-    lex = ranking.padded(lexical_scores(spark, d), asked, positions(spark, d), DEPTH)
-    return ranking.fuse_min_max(lex, dense_top(spark, d).drop("rank"), n=DEPTH)
+def both_views(spark: SparkSession, d: str, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best DEPTH of either view, of one table of words."""
+    words = words or corpus(spark, d)
+    lex = ranking.padded(ranking.top(lexical_scores(spark, d, words), DEPTH), questions(spark, d), positions(spark, d), DEPTH)
+    return lex, dense_top(spark, d, words)
+
+
+def fused(spark: SparkSession, d: str, words: DataFrame | None = None) -> DataFrame:
+    lex, near = both_views(spark, d, words)
+    return ranking.fuse_min_max(lex, near.drop("rank"), n=DEPTH)
 
 
 @query(f"WITH {BM25}, {DENSE}, {LEX_TOP}, {FUSED} SELECT qid, id, fused, rank FROM fused WHERE rank <= 30")
@@ -146,8 +155,8 @@ def hybrid_minmax(spark, d):
 @query(f"""WITH {BM25}, {DENSE}, {LEX_TOP}, u AS (SELECT qid, id, r FROM la UNION ALL SELECT qid, id, r FROM da), f AS (SELECT qid, id, round(sum(1.0 / (60 + r)), 9) AS fused FROM u GROUP BY qid, id)
 SELECT qid, id, fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, id) AS rank FROM f QUALIFY rank <= 30""")
 def hybrid_reciprocal(spark, d):
-    lex = ranking.top(ranking.padded(lexical_scores(spark, d), questions(spark, d), positions(spark, d), DEPTH), DEPTH)
-    both = lex.select("qid", "id", "rank").unionByName(dense_top(spark, d).select("qid", "id", "rank"))
+    lex, near = both_views(spark, d)
+    both = ranking.top(lex, DEPTH).select("qid", "id", "rank").unionByName(near.select("qid", "id", "rank"))
     return ranking.fuse_reciprocal(both).where("rank <= 30").withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -157,9 +166,10 @@ OVERLAP = f"""qs AS (SELECT qid, list_distinct(w) AS qw FROM qw), head AS (SELEC
 @query(f"WITH {BM25}, {DENSE}, {LEX_TOP}, {FUSED}, {OVERLAP} SELECT qid, id, round(new, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank > 30, new DESC NULLS LAST, rank) AS rank FROM head")
 def rerank_head(spark, d):
     """The first 30 of 50 reordered by the share of the query's words that they hold; the rest as it stood."""
-    ranked = fused(spark, d).where("rank <= 50")
+    indexed = corpus(spark, d)
+    ranked = cut(fused(spark, d, indexed).where("rank <= 50"))
     words = questions(spark, d).select("qid", F.array_distinct("tokens").alias("qw"))
-    new = ranked.where("rank <= 30").join(words, "qid").join(corpus(spark, d), "id").select("qid", "id", (F.size(F.array_intersect("qw", "tokens")) / F.size("qw")).alias("score"))
+    new = ranked.where("rank <= 30").join(words, "qid").join(indexed, "id").select("qid", "id", (F.size(F.array_intersect("qw", "tokens")) / F.size("qw")).alias("score"))
     return ranking.reranked(ranked, new, 30).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -191,8 +201,8 @@ def find_page(spark, d):
 
 @query(f"""WITH {BM25}, {DENSE}, {LEX_TOP}, u AS (SELECT qid, id, 'words' AS view FROM la WHERE r <= 10 UNION SELECT qid, id, 'vectors' FROM da WHERE r <= 10) SELECT qid, id, string_agg(view, ',' ORDER BY view) AS found_by FROM u GROUP BY qid, id""")
 def pooling(spark, d):
-    lex = ranking.top(ranking.padded(lexical_scores(spark, d), questions(spark, d), positions(spark, d), DEPTH), 10)
-    both = lex.select("qid", "id", F.lit("words").alias("view")).unionByName(dense_top(spark, d).where("rank <= 10").select("qid", "id", F.lit("vectors").alias("view")))
+    lex, near = both_views(spark, d)
+    both = ranking.top(lex, 10).select("qid", "id", F.lit("words").alias("view")).unionByName(near.where("rank <= 10").select("qid", "id", F.lit("vectors").alias("view")))
     return both.groupBy("qid", "id").agg(F.array_join(F.sort_array(F.collect_set("view")), ",").alias("found_by"))
 
 

@@ -13,6 +13,11 @@ from tracelode.tables import spread, table
 
 WORDS = r"coalesce(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+'), [])"
 W_TEXT = WORDS.format("text")
+# The same with composed letters and with pairs of clusters in runs of scripts written without spaces.
+SEARCH_WORDS = (
+    r"coalesce(flatten(list_transform(regexp_extract_all(lower(nfc_normalize({0})), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: flatten(list_transform(regexp_extract_all(w, '(?:[§]\p{{M}}*)+|[^§]+'),"
+    r" lambda p: CASE WHEN regexp_matches(p, '^[§]') AND length_grapheme(p) > 1 THEN list_transform(range(1, length_grapheme(p)), lambda i: substring_grapheme(p, i, 2)) ELSE [p] END)))), [])"
+).replace("§", udfs.UNSPACED.replace("{", "{{").replace("}", "}}"))
 LINES = r"""(SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS lines FROM
   (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r\z', '')) AS parts FROM documents WHERE text IS NOT NULL))"""
 
@@ -27,10 +32,10 @@ def tokens(spark, d):
     return w.select("doc_id", F.size("w").cast("bigint").alias("words"), F.size(F.array_distinct("w")).cast("bigint").alias("kinds"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, CAST(len(w) AS BIGINT) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {SEARCH_WORDS.format('text')} AS w FROM documents)")
 def tokens_unspaced(spark, d):
     """Tokens with composed letters and runs of unspaced scripts cut into pairs of grapheme clusters."""
-    w = _documents(spark, d).select("doc_id", udfs.words("text").alias("w"))
+    w = _documents(spark, d).select("doc_id", udfs.search_words("text").alias("w"))
     return w.select("doc_id", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 

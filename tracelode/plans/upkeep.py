@@ -197,11 +197,11 @@ def dimension_build(spark, d):
 QRELS = "qr AS (SELECT qid, id, CAST(max(CASE WHEN df <= 5 THEN 2 ELSE 1 END) AS BIGINT) AS grade FROM p JOIN q USING (term) JOIN df USING (term) WHERE df <= 20 GROUP BY qid, id)"
 
 
-def judged(spark, d):
+def judged(spark, d, words=None):
     from tracelode.operators import lexical
 
     asked = search.questions(spark, d).select("qid", F.explode("tokens").alias("term")).distinct()
-    hits = lexical.postings(search.corpus(spark, d)).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = lexical.postings(words or search.corpus(spark, d)).join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df")).where("df <= 20")
     return hits.join(df, "term").join(asked, "term").groupBy("qid", "id").agg(F.max(F.when(F.col("df") <= 5, 2).otherwise(1)).cast("bigint").alias("grade"))
 
@@ -210,13 +210,15 @@ def judged(spark, d):
 g AS (SELECT qid, sum(grade / log2(rank + 1)) FILTER (WHERE rank <= 10) AS gain, count(*) FILTER (WHERE rank <= 10) AS in10, count(*) FILTER (WHERE rank <= 100) AS in100, min(rank) FILTER (WHERE rank <= 10) AS first FROM fused JOIN qr USING (qid, id) GROUP BY qid)
 SELECT qid, round(coalesce(gain / ideal, 0), 6) AS ndcg10, round(coalesce(in10 / relevant, 0), 6) AS recall10, round(coalesce(in100 / relevant, 0), 6) AS recall100, round(coalesce(1.0 / first, 0), 6) AS mrr10 FROM i LEFT JOIN g USING (qid)""")
 def ir_measures(spark, d):
-    return measures.run_measures(search.fused(spark, d), judged(spark, d))
+    words = search.corpus(spark, d)
+    return measures.run_measures(search.fused(spark, d, words), judged(spark, d, words))
 
 
 @query(f"""WITH {BM25}, {QRELS}, s AS (SELECT lex.qid, lex.id, score, qr.id IS NOT NULL AS positive FROM lex LEFT JOIN qr USING (qid, id)), g AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS n FROM s GROUP BY score),
 b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auroc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM b""")
 def auroc(spark, d):
-    rows = search.lexical_scores(spark, d).join(judged(spark, d), ["qid", "id"], "left")
+    words = search.corpus(spark, d)
+    rows = search.lexical_scores(spark, d, words).join(judged(spark, d, words), ["qid", "id"], "left")
     return measures.auroc(rows.select("score", F.col("grade").isNotNull().alias("positive")))
 
 
@@ -224,8 +226,9 @@ def auroc(spark, d):
 h AS (SELECT qid, count(*) FILTER (WHERE r <= 10) AS a, count(*) FILTER (WHERE r <= 30) AS b, count(*) FILTER (WHERE r <= 100) AS e FROM l JOIN qr USING (qid, id) GROUP BY qid)
 SELECT round(avg(coalesce(a, 0) / rel), 6) AS at10, round(avg(coalesce(b, 0) / rel), 6) AS at30, round(avg(coalesce(e, 0) / rel), 6) AS at100, count(*) AS queries FROM c LEFT JOIN h USING (qid)""")
 def recall_by_depth(spark, d):
-    qr = judged(spark, d)
-    hit = ranking.top(search.lexical_scores(spark, d), 100).join(qr, ["qid", "id"]).groupBy("qid").agg(*[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in (10, 30, 100)])
+    words = search.corpus(spark, d)
+    qr = judged(spark, d, words)
+    hit = ranking.top(search.lexical_scores(spark, d, words), 100).join(qr, ["qid", "id"]).groupBy("qid").agg(*[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in (10, 30, 100)])
     rows = qr.groupBy("qid").agg(F.count("*").alias("rel")).join(hit, "qid", "left")
     return rows.agg(*[F.round(F.avg(F.coalesce(F.col(f"n{k}"), F.lit(0)) / F.col("rel")), 6).alias(f"at{k}") for k in (10, 30, 100)], F.count("*").alias("queries"))
 
@@ -233,7 +236,8 @@ def recall_by_depth(spark, d):
 @query(f"""WITH {BM25}, {QRELS} SELECT l.qid, max(score) AS best_without FROM lex l WHERE NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = l.qid AND qr.id = l.id) GROUP BY l.qid""")
 def answerability(spark, d):
     """Each query's best score once its relevant documents are taken away."""
-    return search.lexical_scores(spark, d).join(judged(spark, d), ["qid", "id"], "left_anti").groupBy("qid").agg(F.max("score").alias("best_without"))
+    words = search.corpus(spark, d)
+    return search.lexical_scores(spark, d, words).join(judged(spark, d, words), ["qid", "id"], "left_anti").groupBy("qid").agg(F.max("score").alias("best_without"))
 
 
 CHANCE = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0"
