@@ -221,7 +221,7 @@ def test_data_filter_reasons(spark):
     }
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
     got = {r["id"]: r["reason"] for r in datafilter.features(df).select("id", datafilter.reason().alias("reason")).collect()}
-    assert got == {1: "table data", 2: "URLs alone", 3: None, 4: "JSON data", 5: "log", 6: "word list", 7: "numbers and codes", 10: None}
+    assert got == {1: "table", 2: "URLs or numbers alone", 3: None, 4: "JSON", 5: "log", 6: "word list", 7: "numbers and codes", 10: None}
 
 
 def test_data_filter_counts_cjk_cells_and_numbers(spark):
@@ -235,7 +235,7 @@ def test_data_filter_counts_cjk_cells_and_numbers(spark):
     }
     df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
     got = {r["id"]: r["reason"] for r in datafilter.features(df).select("id", datafilter.reason().alias("reason")).collect()}
-    assert got == {1: None, 2: None, 3: "URLs or numbers alone", 4: "table data", 5: "table data", 6: None, 7: "JSON data"}
+    assert got == {1: None, 2: None, 3: "URLs or numbers alone", 4: "table", 5: "table", 6: None, 7: "JSON"}
 
 
 def test_code_and_sql_reasons(spark):
@@ -280,14 +280,14 @@ def test_grep_returns_every_match(spark, tmp_path):
     hot = "\n".join(f"tokenizer {i}" for i in range(50))
     rows = [(1, "/a", 1, "line", hot), (2, "/b", 7, "line", "x\nVocabulary\ny"), (3, "/b", 9, "page", "tokenizer")]
     spark.createDataFrame(rows, "id bigint, path string, start bigint, unit string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
-    got = {(r["path"], r["turn"], r["line_no"]) for r in search.grep_matches(spark, str(tmp_path)).collect()}
+    got = {(r["path"], r["turn"], r["line_no"]) for r in search.grep(spark, str(tmp_path)).collect()}
     assert got == {("/a", i + 1, i + 1) for i in range(50)} | {("/b", 1, 8)}
     assert {(p, t, n) for p, t, n in got if t <= 3} == {(r["path"], r["turn"], r["line_no"]) for r in search.grep(spark, str(tmp_path)).collect()}
 
 
 def test_secrets_overlap_and_rules(tmp_path):
     key = "AK" + "IA" + "QX7PEXAMPLE0CANA"
-    assert [k for k, _, _ in privacy.find_secrets(f"k = {key}")] == ["aws-access-key"]
+    assert [f.kind for f in privacy.find_secrets(f"k = {key}")] == ["aws-access-key"]
     value = "Zx9Q" + "Qw7wEr5eTy3rUi1Op0"
     assert privacy.redact(f"api_key = '{value}'")[0] == "api_key = '[REDACTED:assigned-secret]'"
     assert privacy.find_secrets(f"token = {value}(x)") == [] == privacy.find_secrets(f"token = {value}", quoted=True)
@@ -295,7 +295,7 @@ def test_secrets_overlap_and_rules(tmp_path):
     path = tmp_path / "rules.toml"
     path.write_text('[[rules]]\nid = "own"\nregex = \'\'\'own_(?i)([a-z0-9]{10})\'\'\'\nkeywords = ["own_"]\nentropy = 2.0\n[[rules.allowlists]]\nstopwords = ["example"]\n')
     rule = privacy.rules_of(str(path))
-    assert [k for k, _, _ in privacy.find_secrets("own_aB3dE5gH7j", rules=rule)] == ["own"]
+    assert [f.kind for f in privacy.find_secrets("own_aB3dE5gH7j", rules=rule)] == ["own"]
     assert privacy.find_secrets("own_aaaaaaaaaa", rules=rule) == [] == privacy.find_secrets("own_example123", rules=rule)
 
 

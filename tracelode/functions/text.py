@@ -34,10 +34,14 @@ def one_line(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(text), r"\s+", " "), "^ | $", "")
 
 
+# Terminal escape sequences (ECMA-48: control sequences, strings, single signs) and control characters.
+ESCAPES = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[@-Z\\\-_]"
+CONTROLS = r"[\x00-\x08\x0b-\x1f\x7f\x80-\x9f]"
+
+
 def sanitized(text: Column | str) -> Column:
     """Without terminal escape sequences and control characters; tabs and line feeds stay."""
-    escapes = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[@-Z\\\-_]"
-    return F.regexp_replace(F.regexp_replace(col(text), escapes, ""), r"[\x00-\x08\x0b-\x1f\x7f\x80-\x9f]", "")
+    return F.regexp_replace(F.regexp_replace(col(text), ESCAPES, ""), CONTROLS, "")
 
 
 def lines(text: Column | str) -> Column:
@@ -99,17 +103,24 @@ def language(text: Column | str) -> Column:
     return F.when(n == 0, "other").when(vi * 5 >= n, "vi").when(en * 5 >= n * 4, "en").otherwise("other")
 
 
+# Endings of text, code, Markdown and data files, and of files that a reader turns into text.
+TEXT = ("md", "markdown", "txt", "rst", "org", "tex", "bib")
+CODE = (
+    "py", "pyi", "js", "mjs", "ts", "tsx", "jsx", "rs", "go", "java", "kt", "scala", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "swift", "m", "r", "jl", "lua",
+    "sh", "bash", "zsh", "fish", "sql", "toml", "yaml", "yml", "ini", "cfg", "css", "scss", "cu",
+)
+MARKDOWN = ("md", "markdown")
+DATA = ("csv", "tsv", "json", "jsonl", "log")
+OTHER = {"pdf": "pdf", "ipynb": "notebook", "docx": "docx", "pptx": "pptx", "xlsx": "spreadsheet", "html": "html", "htm": "html"}
+
+
 def file_kind(path: Column | str) -> Column:
     """What a path's ending says it is."""
-    ext = F.lower(F.regexp_extract(col(path), r"\.([A-Za-z0-9]+)$", 1))
-    kinds = [
-        ("markdown", ["md", "markdown"]), ("text", ["txt", "rst", "tex", "py", "js", "go", "sh", "toml", "env", "ini", "rs", "java", "c", "sql", "r"]),
-        ("data", ["json", "jsonl", "yaml", "yml", "csv", "tsv", "xml", "log"]), ("pdf", ["pdf"]), ("notebook", ["ipynb"]), ("docx", ["docx"]), ("pptx", ["pptx"]), ("spreadsheet", ["xlsx", "xls"]), ("html", ["html", "htm"]),
-    ]
-    out = F.lit(None).cast("string")
-    for kind, endings in reversed(kinds):
-        out = F.when(ext.isin(endings), kind).otherwise(out)
-    return F.coalesce(out, F.lit("unsupported"))
+    ext = F.lower(F.regexp_extract(col(path), r"[^/]\.([^./]+)$", 1))
+    out = F.when(ext.isin(*MARKDOWN), "markdown").when(ext.isin(*TEXT, *CODE), "text").when(ext.isin(*DATA), "data")
+    for ending, kind in OTHER.items():
+        out = out.when(ext == ending, kind)
+    return out.otherwise("unsupported")
 
 
 def cited_ids(text: Column | str) -> Column:

@@ -55,14 +55,16 @@ def vector_drift(spark, d):
     return v.select("vec_id", F.round(dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b"))), 5).alias("cosine"))
 
 
-@query(r"""WITH p AS (SELECT DISTINCT id, path, CAST("start" AS BIGINT) AS s, text FROM chunks WHERE text IS NOT NULL AND length(text) > 80), c AS (SELECT id, path, s, text, substr(text, 41, 40) AS needle FROM p)
-SELECT id, CASE WHEN (length(text) - length(replace(text, needle, ''))) // 40 = 1 THEN s + length(regexp_replace(substr(text, 1, strpos(text, needle) - 1), '[^\n]', '', 'g')) END AS line FROM c""")
+@query(r"""WITH p AS (SELECT DISTINCT id, path, CAST("start" AS BIGINT) AS s, regexp_replace(text, '\n(?:[ \t\r]*\n)+', chr(10) || chr(10), 'g') AS passage FROM chunks WHERE text IS NOT NULL),
+f AS (SELECT path, passage, min(s) AS line, count(DISTINCT s) AS places FROM p GROUP BY path, passage) SELECT DISTINCT h.query_id, h.id, CASE WHEN places = 1 THEN line END AS line, places FROM hits h JOIN p ON p.id = h.id JOIN f ON f.path = h.path AND f.passage = p.passage""")
 def relocate(spark, d):
-    """Where a passage stands now: its line if it occurs once, else nothing."""
-    c = table(spark, d, "chunks").where("length(text) > 80").select("id", "path", F.col("start").cast("bigint").alias("s"), "text").distinct().withColumn("needle", F.substring("text", 41, 40))
-    times = (F.length("text") - F.length(F.replace("text", F.col("needle"), F.lit("")))) / 40
-    before = F.expr("substring(text, 1, locate(needle, text) - 1)")
-    return c.select("id", F.when(times.cast("int") == 1, F.col("s") + F.length(F.regexp_replace(before, r"[^\n]", ""))).alias("line"))
+    """Where the whole passage of a recorded hit stands in its file now, blank lines between its paragraphs being free: its
+    line if it stands there once, else nothing, and at how many places."""
+    passage = F.regexp_replace("text", r"\n(?:[ \t\r]*\n)+", "\n\n")
+    p = table(spark, d, "chunks").where("text is not null").select("id", "path", F.col("start").cast("bigint").alias("s"), F.md5(passage).alias("passage")).distinct()
+    now = p.groupBy("path", "passage").agg(F.min("s").alias("line"), F.count_distinct("s").alias("places"))
+    asked = table(spark, d, "hits").select("query_id", "id", "path").distinct().join(p.select("id", "passage").distinct(), "id")
+    return asked.join(now, ["path", "passage"]).select("query_id", "id", F.when(F.col("places") == 1, F.col("line")).alias("line"), "places").distinct()
 
 
 @query("SELECT count(*) AS sources, count(*) FILTER (WHERE origin IN (SELECT path FROM files)) AS allowed FROM (SELECT DISTINCT source_key, origin FROM sources)")
@@ -80,8 +82,11 @@ def evidence_found(spark, d):
     place = r"^(.*):(?:L|p\.|cell )([0-9]+)(?:-([0-9]+))?$"
     p = table(spark, d, "hits").where("size(copies) > 0").select("query_id", "rank", "id", F.explode("copies").alias("place")).distinct()
     p = p.select("query_id", "rank", "id", F.regexp_extract("place", place, 1).alias("path"), F.nullif(F.regexp_extract("place", place, 2), F.lit("")).cast("int").alias("s"))
+    # a place meets the chunks of its own block of lines alone
     k = table(spark, d, "chunks").select(F.col("id").alias("chunk"), F.col("path").alias("kp"), F.col("start").alias("ks"), F.col("end").alias("ke")).distinct()
-    return p.join(k, (F.col("kp") == F.col("path")) & (F.col("ks") <= F.col("s")) & (F.col("s") <= F.col("ke")), "left").groupBy("query_id", "rank", "id").agg(F.count_distinct("chunk").alias("chunks"))
+    k = k.withColumn("block", F.explode(F.sequence(F.floor(F.col("ks") / 200), F.floor(F.greatest("ks", "ke") / 200))))
+    p = p.withColumn("at", F.floor(F.col("s") / 200))
+    return p.join(k, (F.col("kp") == F.col("path")) & (F.col("block") == F.col("at")) & (F.col("ks") <= F.col("s")) & (F.col("s") <= F.col("ke")), "left").groupBy("query_id", "rank", "id").agg(F.count_distinct("chunk").alias("chunks"))
 
 
 PLACED = r"""pl AS (SELECT DISTINCT id, unnest(copies) AS place FROM hits WHERE copies IS NOT NULL), pp AS (SELECT id, regexp_extract(place, '^(.*):(?:L|p\.|cell )([0-9]+)(?:-([0-9]+))?$', 1) AS path, CAST(nullif(regexp_extract(place, '^(.*):(?:L|p\.|cell )([0-9]+)(?:-([0-9]+))?$', 2), '') AS INT) AS s FROM pl),
@@ -129,7 +134,7 @@ def name_index(spark, d):
 def page_text(spark, d):
     """Documents put into a page with menu and script, and taken out again: how many characters come back."""
     html = F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><article><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></article><script>x()</script></body></html>"))
-    rows = table(spark, d, "documents").where("length(text) >= 300").select("doc_id", html.alias("html"))
+    rows = table(spark, d, "documents").where("length(text) > 0").select("doc_id", html.alias("html"))
 
     def extracted(batches):
         for b in batches:

@@ -15,6 +15,7 @@ from tracelode.functions import udfs
 from tracelode.operators import dense, lexical, ranking, stored
 from tracelode.plans.catalog import query
 from tracelode.plans.text import SEARCH_WORDS
+from tracelode.sources.rules import DENIED, Rule, decide, denied
 from tracelode.tables import checkpoint_dir, cut, spread, table, written
 
 DEPTH = 100
@@ -304,7 +305,7 @@ def outline(spark, d):
 m AS (SELECT id, path, s + k - 1 AS line_no, line FROM l WHERE regexp_matches(line, '(?i)\b(tokenizer|vocabulary)\b')),
 t AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no, id) AS turn FROM m)
 SELECT turn, path, id, line_no, length(line) AS chars FROM t""")
-def grep_matches(spark, d):
+def grep(spark, d):
     """All lines that match a pattern, numbered within their file: in order of turn no file hides the others, and
     nothing is left out; a page of a given size is the reader's, with the count of these rows as its total."""
     rows = table(spark, d, "chunks").where("text is not null and coalesce(unit, 'line') = 'line'").select("id", "path", "start", "text").distinct()
@@ -314,15 +315,6 @@ def grep_matches(spark, d):
     return m.withColumn("turn", turn).select(F.col("turn").cast("bigint").alias("turn"), "path", "id", "line_no", F.length("line").cast("bigint").alias("chars"))
 
 
-@query(r"""WITH l AS (SELECT id, path, CAST("start" AS BIGINT) AS s, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT DISTINCT id, path, "start", text FROM chunks WHERE text IS NOT NULL AND coalesce(unit, 'line') = 'line')),
-m AS (SELECT id, path, s + k - 1 AS line_no, line FROM l WHERE regexp_matches(line, '(?i)\b(tokenizer|vocabulary)\b')),
-t AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no, id) AS turn FROM m)
-SELECT turn, path, id, line_no, length(line) AS chars FROM t WHERE turn <= 3""")
-def grep(spark, d):
-    """Lines that match a pattern, each file's first, second and third: no file hides the others."""
-    return grep_matches(spark, d).where("turn <= 3")
-
-
 @query(r"""SELECT DISTINCT id, CASE WHEN length(line) <= 60 THEN line ELSE substr(line, greatest(1, p - 30), 60) END AS snippet FROM (SELECT id, line, length(regexp_extract(line, '^(.*?)tokenizer', 1)) + 1 AS p FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM chunks) WHERE contains(line, 'tokenizer'))""")
 def grep_snippets(spark, d):
     """A line whole if short, else what stands around its first match."""
@@ -355,8 +347,6 @@ def catalog(spark, d):
 @query("""SELECT path FROM (SELECT DISTINCT path FROM files) WHERE regexp_matches(path, '^(.*/)?notes/([^/]*/)*[^/]*\\.md$') AND NOT regexp_matches(path, '^(.*/)?bakery/.*$')""")
 def glob_paths(spark, d):
     """Paths that ordered rules let in: the last rule that matches decides."""
-    from tracelode.sources.rules import Rule, decide
-
     rules = [Rule("notes/**/*.md", True), Rule("bakery/", False)]
     return table(spark, d, "files").select("path").distinct().where(decide(F.col("path"), rules))
 
@@ -367,10 +357,8 @@ def large_groups(spark, d):
     return rows.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files")).where("files >= 3")
 
 
-@query(r"""SELECT DISTINCT path FROM files WHERE regexp_matches(lower(path), '(^|/)(\.ssh|\.aws|\.env|\.env\..*|[^/]*\.env|[^/]*\.pem|[^/]*\.key|id_rsa[^/]*|credentials(\.[^/]*)?|secrets\.[^/]*)(/|$)')""")
+@query(f"SELECT DISTINCT path FROM files WHERE regexp_matches(path, '{DENIED}')")
 def denied_paths(spark, d):
-    from tracelode.sources.rules import denied
-
     return table(spark, d, "files").select("path").distinct().where(denied(F.col("path")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import calls, text as T
-from tracelode.operators import sessions
+from tracelode.operators import sessions, spans
 from tracelode.plans.catalog import query
 from tracelode.tables import table
 
@@ -99,11 +99,11 @@ def fair_share(spark, d):
     return sizes.select("answer_id", F.size("sizes").cast("bigint").alias("sources"), shown.alias("shown"))
 
 
-@query(f"WITH {TURNS} SELECT session_id, turn, md5(string_agg(coalesce(left(text, 40), ''), ' ' ) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS digest FROM t")
+@query(f"WITH {TURNS} SELECT session_id, turn, md5(string_agg(coalesce(text, ''), ' ' ) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS digest FROM t")
 def followup_query(spark, d):
-    """What a follow-up is searched by: the beginnings of the two turns before it, and its own."""
+    """What a follow-up is searched by: the two turns before it, and its own."""
     w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-2, 0)
-    parts = F.array_join(F.collect_list(F.coalesce(F.left("text", F.lit(40)), F.lit(""))).over(w), " ")
+    parts = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), " ")
     return _turns(spark, d).select("session_id", F.col("turn").cast("bigint").alias("turn"), F.md5(parts).alias("digest"))
 
 
@@ -149,19 +149,20 @@ def citation_scores(spark, d):
     return sessions.citation_counts(_turns(spark, d).select("answer_id", "text"), table(spark, d, "sources").select("answer_id", "source_id", "text"))
 
 
-@query(r"""WITH n AS (SELECT DISTINCT record_id, text FROM retained_unicode), q AS (SELECT record_id, left(text, 25) AS quote FROM n WHERE length(text) >= 25), s AS (SELECT q.record_id, min(n.record_id) AS first_holder, count(*) AS holders FROM q JOIN n ON starts_with(n.text, q.quote) GROUP BY q.record_id) SELECT * FROM s""")
+@query("WITH q AS (SELECT DISTINCT unnest(unsupported_quotes) AS quote FROM answers), s AS (SELECT source_key, min(text) AS text FROM sources WHERE text IS NOT NULL GROUP BY source_key) SELECT quote, min(source_key) AS first_holder, count(*) AS holders FROM q JOIN s ON contains(s.text, q.quote) WHERE quote <> '' GROUP BY quote")
 def quote_holders(spark, d):
-    """Records that begin with the same 25 characters as a record."""
-    n = table(spark, d, "retained_unicode").where("length(text) >= 25").select("record_id", F.left("text", F.lit(25)).alias("quote"), "text").distinct()
-    g = n.groupBy("quote").agg(F.min("record_id").alias("first_holder"), F.count("*").alias("holders"))
-    return n.select("record_id", "quote").distinct().join(g, "quote").select("record_id", "first_holder", "holders")
+    """Where quotes that a check did not find really stand: over all sources, the first that holds the whole quote, and how
+    many do. All quotes of a block are looked for in one pass over the sources."""
+    quotes = table(spark, d, "answers").select(F.explode("unsupported_quotes").alias("quote")).where("quote <> ''").distinct()
+    texts = table(spark, d, "sources").where("text is not null").groupBy("source_key").agg(F.min("text").alias("text"))
+    return spans.holders(quotes, texts).groupBy("quote").agg(F.min("source_key").alias("first_holder"), F.count("*").alias("holders"))
 
 
-@query(r"SELECT DISTINCT record_id, trim(regexp_extract(t, '(?s)<think>(.*?)</think>', 1)) AS reasoning, trim(regexp_replace(t, '(?s)<think>.*?</think>', '')) AS reply FROM (SELECT record_id, '<think>' || left(text, 10) || '</think> ' || substr(text, 11) AS t FROM retained_unicode WHERE text IS NOT NULL)")
+@query(r"SELECT answer_id, trim(regexp_extract(text, '(?s)<think>(.*?)</think>', 1)) AS reasoning, trim(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g')) AS reply FROM (SELECT DISTINCT answer_id, text FROM answers WHERE text IS NOT NULL)")
 def reasoning_split(spark, d):
-    """Reasoning and reply of a message taken apart."""
-    rows = table(spark, d, "retained_unicode").where("text is not null").select("record_id", F.concat(F.lit("<think>"), F.left("text", F.lit(10)), F.lit("</think> "), F.substring("text", 11, 1_000_000)).alias("t"))
-    return rows.select("record_id", *calls.split_reasoning("t")).distinct()
+    """Reasoning and reply of each answer taken apart."""
+    rows = table(spark, d, "answers").where("text is not null").select("answer_id", "text").distinct()
+    return rows.select("answer_id", *calls.split_reasoning("text"))
 
 
 @query("SELECT event_type, count(*) AS events, count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS parsed, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,9 +164,12 @@ def text_pages(spark, d):
     return rows.groupBy("doc_id", (F.floor(F.col("n") / 20) + 1).cast("bigint").alias("page")).agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).cast("bigint").alias("bytes"))
 
 
-@query("""SELECT DISTINCT path, CASE WHEN e IN ('md','markdown') THEN 'markdown' WHEN e IN ('txt','rst','tex','py','js','go','sh','toml','env','ini','rs','java','c','sql','r') THEN 'text'
-WHEN e IN ('json','jsonl','yaml','yml','csv','tsv','xml','log') THEN 'data' WHEN e = 'pdf' THEN 'pdf' WHEN e = 'ipynb' THEN 'notebook' WHEN e = 'docx' THEN 'docx' WHEN e = 'pptx' THEN 'pptx'
-WHEN e IN ('xlsx','xls') THEN 'spreadsheet' WHEN e IN ('html','htm') THEN 'html' ELSE 'unsupported' END AS kind FROM (SELECT path, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM files)""")
+def _in(endings) -> str:
+    return ", ".join(f"'{x}'" for x in endings)
+
+
+@query(rf"""SELECT DISTINCT path, CASE WHEN e IN ({_in(T.MARKDOWN)}) THEN 'markdown' WHEN e IN ({_in(T.TEXT + T.CODE)}) THEN 'text' WHEN e IN ({_in(T.DATA)}) THEN 'data'
+{" ".join(f"WHEN e = '{e}' THEN '{k}'" for e, k in T.OTHER.items())} ELSE 'unsupported' END AS kind FROM (SELECT path, lower(regexp_extract(path, '[^/]\.([^./]+)$', 1)) AS e FROM files)""")
 def file_kinds(spark, d):
     return table(spark, d, "files").select("path", T.file_kind("path").alias("kind")).distinct()
 
@@ -203,29 +208,57 @@ def chunked(spark, d):
     return chunking.chunks(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
 
 
-FEATURES = rf"""a AS (SELECT doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) AS n FROM {LINES}),
-l AS (SELECT doc_id, n, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM a),
-k AS (SELECT doc_id, n, line, length(regexp_replace(line, '\s', '', 'g')) AS dense, length(regexp_replace(line, '[^\p{{L}}\p{{M}}]', '', 'g')) AS letters,
-  len(list_filter(string_split(line, ' '), lambda x: regexp_matches(x, '\p{{L}}'))) AS words, length(line) AS size FROM l WHERE line <> '')"""
+SPACE = r"[\s\x0b\x{85}\p{Z}]"
+CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}]"
+
 
+def _braced(sql: str) -> str:
+    return re.sub(r"(\\[xp])\{(\w+)\}", r"\1{{\2}}", sql)
 
-@query(rf"""WITH {FEATURES} SELECT doc_id, count(*) AS lines, round(sum(letters) / sum(dense), 6) AS letters, round(coalesce(sum(size) FILTER (WHERE words >= 6), 0) / sum(size), 6) AS long,
-round(avg(CASE WHEN regexp_matches(line, '^[0-9]') THEN 1 ELSE 0 END), 6) AS digit_led, round(avg(CASE WHEN regexp_matches(line, '^(https?://\S+|\S+@\S+\.\S+)$') THEN 1 ELSE 0 END), 6) AS addresses,
-round(avg(CASE WHEN regexp_matches(line, '^[\[{{"].*[\]}},:]$') THEN 1 ELSE 0 END), 6) AS json FROM k GROUP BY doc_id""")
+
+COUNT_WORDS = _braced(rf"(len(regexp_extract_all(§, '{CJK}')) / 2 + len(list_filter(regexp_split_to_array(regexp_replace(§, '{CJK}', ' ', 'g'), '{SPACE}+'), lambda x: regexp_matches(x, '\p{{L}}'))))").replace("§", "{0}")
+SHAPE = (
+    r"(SELECT array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '') FROM (SELECT string_split(regexp_replace(regexp_replace(substr({0}, 1, 16), '[\p{{L}}\p{{Nl}}\p{{No}}]', 'a', 'g'), '\p{{Nd}}', '9', 'g'), '') AS c))"
+)
+DELIMITERS = (("','", ","), ("chr(9)", "tab"), ("';'", ";"), ("'|'", "|"))
+FEATURES = rf"""a AS (SELECT doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) AS n FROM {LINES}),
+s AS (SELECT doc_id, n, regexp_replace(raw, '^{SPACE}+|{SPACE}+$', '', 'g') AS line FROM a),
+u AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM s WHERE line <> ''),
+k AS (SELECT doc_id, n, line, length(line) AS size, {COUNT_WORDS.format('line')} AS words, length(regexp_replace(line, '{SPACE}', '', 'g')) AS dense, length(regexp_replace(line, '[^\p{{L}}\p{{M}}]', '', 'g')) AS letters FROM u
+  WHERE total <= 600 OR n < 200 OR n >= total - 200 OR n BETWEEN total // 2 - 100 AND total // 2 + 99),
+v AS (SELECT doc_id, n, 'stamp' AS kind, {SHAPE.format('line')} AS value, false AS short FROM k {" ".join(f"UNION ALL SELECT doc_id, n, '{name}', CAST(len(string_split(line, {d})) - 1 AS VARCHAR), len(list_filter(string_split(line, {d}), lambda y: {COUNT_WORDS.format('y')} > 4)) = 0 FROM k" for d, name in DELIMITERS)}),
+c AS (SELECT doc_id, kind, value, count(*) AS times, min(n) AS first, count(*) FILTER (WHERE short) AS rows FROM v GROUP BY ALL),
+m AS (SELECT doc_id, kind, arg_max(value, times * 100000 - first) AS value, arg_max(times, times * 100000 - first) AS times, arg_max(rows, times * 100000 - first) AS rows FROM c GROUP BY doc_id, kind),
+o AS (SELECT doc_id, max(times) FILTER (WHERE kind = 'stamp' AND len(regexp_extract_all(value, '9+')) >= 2) AS stamp, max(rows) FILTER (WHERE kind <> 'stamp' AND value <> '0') AS rows FROM m GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS lines, sum(letters) / sum(dense) AS letters, coalesce(sum(size) FILTER (WHERE words >= 6), 0) / sum(size) AS long,
+  avg(CASE WHEN regexp_matches(line, '^[{{}}\[\]"]') THEN 1 ELSE 0 END) AS json, avg(CASE WHEN regexp_matches(line, '^(\p{{Nd}}{{3,}}|\p{{Nd}}{{1,4}}[-/.:]\p{{Nd}}{{1,2}}[-/.:]\p{{Nd}}{{1,4}})') THEN 1 ELSE 0 END) AS digit_led,
+  avg(CASE WHEN regexp_matches(line, '^[^\s\p{{Z}}]+://[^\s\p{{Z}}]+$') OR regexp_matches(line, '^[-+.,:;/|eE\p{{Nd}}\s\p{{Z}}]*\p{{Nd}}[-+.,:;/|eE\p{{Nd}}\s\p{{Z}}]*$') THEN 1 ELSE 0 END) AS addresses FROM k GROUP BY doc_id),
+f AS (SELECT g.*, coalesce(stamp, 0) / lines AS stamps, coalesce(rows, 0) / lines AS fields FROM g JOIN o USING (doc_id))"""
+MEASURES = ("letters", "long", "stamps", "fields", "json", "digit_led", "addresses")
+
+
+@query(f"WITH {FEATURES} SELECT doc_id, lines, {', '.join(f'round({m}, 6) AS {m}' for m in MEASURES)} FROM f")
 def doc_features(spark, d):
     f = datafilter.features(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
-    shares = [F.round(c, 6).alias(c) for c in ("letters", "long", "digit_led", "addresses", "json")]
-    return f.select(F.col("id").alias("doc_id"), "lines", *shares)
+    return f.select(F.col("id").alias("doc_id"), "lines", *[F.round(c, 6).alias(c) for c in MEASURES])
 
 
-@query()
+@query(rf"""WITH {FEATURES} SELECT doc_id, CASE WHEN lines >= 20 THEN CASE WHEN addresses >= 0.9 THEN 'URLs or numbers alone' WHEN json >= 0.6 THEN 'JSON' WHEN fields >= 0.6 THEN 'table' WHEN letters < 0.5 THEN 'numbers and codes'
+WHEN stamps >= 0.5 OR digit_led >= 0.7 THEN 'log' WHEN long < 0.3 THEN 'word list' END WHEN lines >= 3 AND length(regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g')) >= 40 AND letters < 0.5 THEN 'numbers and codes' END AS reason FROM f JOIN documents USING (doc_id)""")
 def data_reasons(spark, d):
-    """Why a document is data rather than prose; null for prose."""
+    """Why a document, taken as plain text, is data rather than prose; null for prose."""
     f = datafilter.features(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
     return f.select(F.col("id").alias("doc_id"), datafilter.reason().alias("reason"))
 
 
 @query()
+def judged_chunks(spark, d):
+    """Why a chunk, by its file's name, is data or a tool's code; null for what is read and what is not judged."""
+    rows = table(spark, d, "chunks").select("id", F.col("path").alias("name"), "text").distinct()
+    return datafilter.judged(rows)
+
+
+@query(f"SELECT shape, count(*) AS lines FROM (SELECT {SHAPE.format('line')} AS shape FROM (SELECT unnest(lines) AS line FROM {LINES})) GROUP BY shape")
 def line_shapes(spark, d):
     """Line starts with letters and digits reduced to their kind and runs collapsed."""
     lines = _documents(spark, d).where("text is not null").select("doc_id", F.explode(T.lines("text")).alias("line"))

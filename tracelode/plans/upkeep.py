@@ -127,22 +127,25 @@ def nearest_ancestor(spark, d):
     return index.ancestors(files.select("path").distinct()).join(listed, "ancestor").groupBy("path").agg(F.max_by("ancestor", "depth").alias("nearest"))
 
 
-TOKEN = privacy.ANY_TOKEN.replace("'", "''")
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
-@query(f"SELECT DISTINCT id FROM chunks WHERE regexp_matches(text, '{TOKEN}')")
+HAS_TOKEN = f"(regexp_matches({{0}}, {_quoted(privacy.ANY_TOKEN).replace('{', '{{').replace('}', '}}')}) OR len(list_filter(regexp_extract_all({{0}}, {_quoted(privacy.OLDER_KEY).replace('{', '{{').replace('}', '}}')}), lambda x: regexp_matches(x, '[0-9]'))) > 0)"
+
+
+@query(f"SELECT DISTINCT id FROM chunks WHERE {HAS_TOKEN.format('text')}")
 def secret_chunks(spark, d):
-    """Chunks with a token of a known format (those that need no look-ahead)."""
+    """Chunks with a token of a known format."""
     return table(spark, d, "chunks").where(privacy.has_token("text")).select("id").distinct()
 
 
-@query(rf"""SELECT id, count(*) AS assigned FROM (SELECT DISTINCT id, unnest(regexp_extract_all(text, '(?i)(?:{privacy.NAMES})[A-Za-z0-9_\-]*["'']?\s*(?::=|=>|[:=])\s*["''`]([A-Za-z0-9_\-/+=.]{{16,}})', 1)) AS v FROM chunks WHERE text IS NOT NULL)
-WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') GROUP BY id""")
+@query(rf"""WITH m AS (SELECT id, unnest(regexp_extract_all(text, {_quoted(privacy.ASSIGNED_LITERAL + '([(]?)')})) AS m FROM chunks WHERE text IS NOT NULL), v AS (SELECT DISTINCT id, regexp_extract(m, {_quoted(privacy.ASSIGNED_LITERAL)}, 2) AS v FROM m WHERE NOT ends_with(m, '('))
+SELECT id, count(*) AS assigned FROM v WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND list_entropy(string_split(v, '')) >= {privacy.ENTROPY} - 1e-9 GROUP BY id""")
 def assigned_secrets(spark, d):
-    """Quoted values of sixteen characters or more given to telling names."""
-    values = F.regexp_extract_all("text", F.lit(rf"(?i)(?:{privacy.NAMES})[A-Za-z0-9_\-]*[\"']?\s*(?::=|=>|[:=])\s*[\"'`]([A-Za-z0-9_\-/+=.]{{16,}})"), F.lit(1))
-    rows = table(spark, d, "chunks").where("text is not null").select("id", F.explode(values).alias("v")).distinct()
-    return rows.where(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]")).groupBy("id").agg(F.count("*").alias("assigned"))
+    """Random-looking literals of sixteen characters or more given to telling names, calls left out."""
+    rows = table(spark, d, "chunks").where("text is not null").select("id", "text").distinct()
+    return privacy.assigned(rows).groupBy("id").agg(F.max("assigned").alias("assigned")).where("assigned > 0")
 
 
 @query()
@@ -155,7 +158,7 @@ def injection_flags(spark, d):
     return table(spark, d, "chunks").where(F.col("text").rlike(privacy.INJECTION)).select("id").distinct()
 
 
-@query(rf"""WITH p AS (SELECT DISTINCT id, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) AS par FROM chunks WHERE text IS NOT NULL) SELECT id, count(*) AS paragraphs, count(*) FILTER (WHERE regexp_matches(par, '{TOKEN}')) AS withheld FROM p GROUP BY id HAVING withheld > 0""")
+@query(rf"""WITH p AS (SELECT DISTINCT id, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) AS par FROM chunks WHERE text IS NOT NULL) SELECT id, count(*) AS paragraphs, count(*) FILTER (WHERE {HAS_TOKEN.format('par')}) AS withheld FROM p GROUP BY id HAVING withheld > 0""")
 def withheld_paragraphs(spark, d):
     p = table(spark, d, "chunks").where("text is not null").select("id", F.explode(F.split("text", r"\n[ \t]*\n")).alias("par")).distinct()
     return p.groupBy("id").agg(F.count("*").alias("paragraphs"), F.count_if(privacy.has_token("par")).alias("withheld")).where("withheld > 0")

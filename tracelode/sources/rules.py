@@ -8,8 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File and folder names that hold credentials.
-DENIED = r"(?i)(^|/)(\.ssh|\.aws|\.env|\.env\..*|[^/]*\.env|[^/]*\.pem|[^/]*\.key|id_rsa[^/]*|credentials(\.[^/]*)?|secrets\.[^/]*)(/|$)"
+# Names of files and folders that hold credentials.
+DENIED_NAMES = (
+    ".ssh", ".gnupg", ".aws", ".azure", ".kube", ".docker", ".kaggle", ".modal.toml", ".netrc", ".git-credentials", ".pypirc", ".npmrc", ".env", ".env.*", "*.env", "*.pem", "*.key", "*.p12", "*.pfx", "*.kdbx",
+    "id_rsa*", "id_ecdsa*", "id_ed25519*", ".password-store", "hosts.yml",
+    "token", ".token", "*.token", "access_token", "token.json", "tokens.json", "credentials", "credentials.json", "credentials.toml", "credentials.yml", "credentials.yaml",
+    ".secrets", "secrets.json", "secrets.toml", "secrets.yml", "secrets.yaml",
+)
+#: One expression for any part of a path, as Java and RE2 read it.
+DENIED = "(?i)(^|/)(" + "|".join(re.sub(r"\\\*", "[^/]*", re.escape(x).replace(r"\-", "-")) for x in DENIED_NAMES) + ")(/|$)"
 
 
 @dataclass(frozen=True)
