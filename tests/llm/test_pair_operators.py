@@ -194,9 +194,20 @@ def test_dense_cluster_keeps_its_nearest(spark, noise):
 
 def test_packed_vectors_come_back_as_they_were():
     x = np.array([[0.5] * 64, [0.1] * 64, [1e6] + [1.0] * 63, [1e-30] * 64], np.float32)
-    packed = neighbours._packed(pa.array([v.tobytes() for v in x], pa.binary()))
-    assert [len(v) for v in packed.to_pylist()] == [128, 256, 256, 256]
-    assert np.array_equal(neighbours._unpacked(packed), x)
+    packed = neighbours._packed(x)
+    assert [len(v) for v in packed] == [128, 256, 256, 256]
+    assert np.array_equal(neighbours._unpacked(pa.array(packed, pa.binary()), 64), x)
+
+
+def test_vectors_of_another_length(spark):
+    x = np.random.default_rng(8).standard_normal((300, 12)).astype(np.float32)
+    m = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)] + [(900, [1.0] * 64), (901, None)], "id bigint, vec array<float>")
+    got = {(r["id"], r["other"]) for r in neighbours.neighbour_ids(df, k=5, recall=1.0, dimensions=12).collect()}
+    cos = m @ m.T
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(300) for j in np.argsort(-cos[i])[:5]}
+    assert len(want & got) >= 0.99 * len(want) and len(got) == len(want)
 
 
 def test_traversal_visits_every_leaf_once():
