@@ -163,13 +163,13 @@ def test_token_ids_round_trip_and_parts(spark):
 
 
 @pytest.fixture(scope="module")
-def model():
+def model(spark):
     rng = random.Random(1)
     texts = []
     for _ in range(400):
         w = lambda: rng.choice(WORDS)
         texts.append(f"Dr. {w().title()} keeps a {w()} in Fig. {rng.randint(1, 40)} and a {w()}. The {w()} fell, i.e. below a {w()}. Mirrors, {w()}s, etc. Our {w()} holds a {w()}.\n\nA {w()} of the {w()} stays near a {w()}.")
-    return sentences.fit(texts)
+    return sentences.fitted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
 
 
 CASES = [
