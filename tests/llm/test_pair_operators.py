@@ -86,10 +86,18 @@ def test_boilerplate_is_probed_again(spark, vocabulary):
                 if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                     want.add((i, j))
     df = spark.createDataFrame(list(rows.items()), "id bigint, text string")
-    for hot in (near_copies.HOT, 10, 1):
-        links, _ = near_copies.near_copy_links(df, hot=hot)
+    for hot, block, gathered in ((near_copies.HOT, near_copies.BLOCK, near_copies.GATHERED), (10, 5, 20), (1, 3, 0)):
+        links, _ = near_copies.near_copy_links(df, hot=hot, block=block, gathered=gathered)
         assert {tuple(r) for r in links.collect()} == want
     assert want
+    label = {i: i for i in rows}
+    for _ in rows:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    many = {i: sum(i in p for p in want) for i in rows}
+    twice = spark.createDataFrame([*rows.items(), (5000, rows[0])], "id bigint, text string")
+    groups = {r["id"]: (r["rep"], r["links"]) for r in near_copies.near_copy_groups(twice).collect()}
+    assert groups == {i: (label[i], many[i]) for i in rows} | {5000: (label[0], many[0])}
 
 
 def test_thresholds_are_allocated_and_complete():
@@ -273,6 +281,38 @@ def test_short_runs_of_many_items_are_all_found(spark, vocabulary):
     assert {(r["doc_id"], r["item_id"]) for r in leaks.matches(df, ev).where("run").collect()} == want
 
 
+def test_paraphrases_are_found(spark, vocabulary):
+    """Item passages with every tenth word replaced and sentences reordered, in longer documents, without a run."""
+    rng = random.Random(21)
+    items = [(i, ". ".join(text(rng, vocabulary, 12).capitalize() for _ in range(8)) + f" {rng.randint(1000, 9999)}.") for i in range(40)]
+    docs, want = [], set()
+    for d in range(120):
+        i, t = items[d % 40]
+        parts = t.split(". ")
+        k = rng.randrange(0, 4)
+        parts[k], parts[k + 1] = parts[k + 1], parts[k]
+        words = [rng.choice(vocabulary) if n % 10 == 9 else w for n, w in enumerate(" ".join(parts).split())]
+        docs.append((d, f"{text(rng, vocabulary, 80)}. {' '.join(words)} {text(rng, vocabulary, 80)}."))
+        want.add((d, i))
+    docs += [(1000 + d, text(rng, vocabulary, 300)) for d in range(200)]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.matches(df, ev).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_blocks_are_bounded_by_length(monkeypatch, spark, vocabulary):
+    """Long items are cut into overlapping parts, many items into blocks, and slots grow with the terms."""
+    monkeypatch.setattr(leaks, "LETTERS", 6_000)
+    monkeypatch.setattr(leaks, "ROWS", 500)
+    rng = random.Random(22)
+    items = [(i, text(rng, vocabulary, 120)) for i in range(12)] + [(50, text(rng, vocabulary, 1_500))]
+    docs = [(d, items[d][1][200:400]) for d in range(12)] + [(100 + k, items[-1][1][k * 700 : k * 700 + 90]) for k in range(12)]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in leaks.leaks(df, ev).collect()} >= {(d, d) for d in range(12)} | {(100 + k, 50) for k in range(12) if len(strip(docs[12 + k][1])) >= 60}
+    hashes = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 5_000).astype(np.uint64))
+    assert (np.sort(leaks.slot_table(hashes))[-5_000:] == np.arange(1, 5_001)).all()
+
+
 def test_common_subsequence():
     assert leaks.common_subsequence("abcbdab", "bdcaba") == 4 and leaks.common_subsequence("", "a") == 0
     rng = random.Random(2)

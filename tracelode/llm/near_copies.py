@@ -6,7 +6,8 @@ flip together, so they stay in one partition; bins whose values collide often ar
 A partition i gets its own threshold t_i (−1: never probed), all t_i + 1 summing to TAU + 1: then every pair within
 TAU differing bins differs in at most t_i bins of some partition i. The thresholds minimise the candidates that
 histograms of the whole collection predict, by dynamic programming. Texts that meet in a key with many others are not
-paired there but probed again by that key and one more partition. Candidates are then held against the whole sketch
+paired there but probed again by that key and one more partition; keys that the forecast's histograms show to be hot are not
+gathered at all before that. Texts that are still many are compared by their tags in blocks of bounded size. Candidates are then held against the whole sketch
 and at last against the exact shingle sets, so every pair that comes out is right.
 
 Equal texts are folded before and unfolded after, so a group of copies costs one sketch.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tracelode.llm.arrays import U64, bundles, gram_hashes, mix, points
 from tracelode.llm.sieve import sieved
+from tracelode.operators.linkage import components
 from tracelode.tables import cut, written
 
 SHINGLE = 8
@@ -199,11 +201,12 @@ def _forecast(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]])
     yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array([total[a, b].tobytes() for a, b in zip(p, t)], pa.binary())], names=["t", "part", "cells"])
 
 
-def _add(table: pa.Table) -> pa.Table:
+def _add(table: pa.Table, gathered: int) -> pa.Table:
     cells = sum(np.frombuffer(x, np.int64) for x in table.column("cells").to_pylist())
     n = int(cells.sum())
     pairs = max(0.0, (float((cells.astype(float) ** 2).sum()) - n * n / len(cells)) / 2)
-    return pa.table({"t": table.column("t")[:1], "part": table.column("part")[:1], "pairs": pa.array([pairs]), "keys": pa.array([n], pa.int64())})
+    hot = np.flatnonzero(cells > 2 * n / len(cells) + gathered)
+    return pa.table({"t": table.column("t")[:1], "part": table.column("part")[:1], "pairs": pa.array([pairs]), "keys": pa.array([n], pa.int64()), "hot": pa.array([hot.tolist()], pa.list_(pa.int32()))})
 
 
 def grouped_bins(rates: dict[int, float], parts: int = PARTITIONS) -> list[tuple[int, ...]]:
@@ -231,6 +234,11 @@ def allocated(cost: dict[tuple[int, int], float], parts: int, tau: int = TAU) ->
 #: Texts with one key above which they are not paired at once: they are probed again among themselves, by the other
 #: partitions together with that key. Boilerplate that a third of all texts have is then no group of its own.
 HOT = 300
+#: Entries of a cell of the forecast's histograms beyond twice the cells' mean from which its keys are not gathered at all
+#: but go straight to the second round: so no key brings more than this and twice the mean into one task.
+GATHERED = 200_000
+#: Texts that agree in two partitions above which they are compared in blocks of this size, by their tags.
+BLOCK = 2_000
 #: Bits of a key within its bucket. A false meeting of two keys costs one comparison of tags and nothing else.
 LOW_BITS = 24
 #: Ratio of the steps in which shingle counts are kept, in one byte.
@@ -270,13 +278,58 @@ def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
     return bucket << LOW_BITS | (keys & U64((1 << LOW_BITS) - 1)).astype(np.int64)
 
 
-def _probes(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed keys of (id, n, kind, sketch)."""
+def _in_cells(keys: np.ndarray, cells: list[int]) -> np.ndarray:
+    return np.isin((keys >> U64(52)).astype(np.int64), cells) if cells else np.zeros(len(keys), bool)
+
+
+def _probes(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], buckets: int, hot: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """Packed keys of (id, n, kind, sketch), those of hot cells left out."""
     for batch in batches:
         ids, n, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         m = _matrix(batch.column(3))
-        keys = np.concatenate([k for i, (bins, t) in enumerate(zip(layout, thresholds)) if t >= 0 for k in _variant_keys(m, bins, t, kind, i)])
-        yield _packed(keys, np.tile(np.arange(len(ids), dtype=np.int32), len(keys) // max(1, len(ids))), ids, n, buckets)
+        keys, rows = [], []
+        for i, (bins, t) in enumerate(zip(layout, thresholds)):
+            if t >= 0:
+                for k in _variant_keys(m, bins, t, kind, i):
+                    kept = np.flatnonzero(~_in_cells(k, hot[i]))
+                    keys.append(k[kept])
+                    rows.append(kept.astype(np.int32))
+        yield _packed(np.concatenate(keys), np.concatenate(rows), ids, n, buckets)
+
+
+def _hot_entries(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], buckets: int, hot: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """(hot key's code, id) of the keys of hot cells."""
+    for batch in batches:
+        ids, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        m = _matrix(batch.column(3))
+        codes, own = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, (bins, t) in enumerate(zip(layout, thresholds)):
+            if t >= 0 and hot[i]:
+                for k in _variant_keys(m, bins, t, kind, i):
+                    many = _in_cells(k, hot[i])
+                    codes.append(_codes(k[many], buckets))
+                    own.append(ids[many])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(own), pa.int64())], names=["hot", "id"])
+
+
+def _block_pairs(table: pa.Table, tau: int) -> pa.Table:
+    """Of the texts (id, block, tag) of two blocks of one key: pairs (a, b), a < b, one of either block, that differ in at
+    most tau half bytes of their tags."""
+    ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+    tags = np.frombuffer(b"".join(table.column("tag").to_pylist()), np.uint8).reshape(-1, BINS // 2)
+    p, q = int(table.column("p")[0].as_py()), int(table.column("q")[0].as_py())
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for begin in range(0, len(left), 64):
+        rows = left[begin : begin + 64]
+        unlike = tags[rows][:, None, :] ^ tags[right][None, :, :]
+        differ = np.count_nonzero(unlike & 15, axis=2) + np.count_nonzero(unlike >> 4, axis=2)
+        i, j = np.nonzero(differ <= tau)
+        a.append(ids[rows[i]])
+        b.append(ids[right[j]])
+    x, y = np.concatenate(a), np.concatenate(b)
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    return pa.table({"a": pa.array(x[x < y], pa.int64()), "b": pa.array(y[x < y], pa.int64())})
 
 
 def _second_probes(batches: Iterator[pa.RecordBatch], layout: list[tuple[int, ...]], thresholds: list[int], others: list[list[int]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -347,43 +400,61 @@ def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copy_links(texts: DataFrame, threshold: float = 0.8, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def near_copy_links(texts: DataFrame, threshold: float = 0.8, hot: int = HOT, block: int = BLOCK, gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
     """Of (id, text): the links (a, b), a < b, between the least ids of different texts of at least this similarity
     (0.8 or more, for which TAU is made), and the membership (id, rep) of every id with a text."""
     if threshold < 0.8:
         raise ValueError("the sketches are made for a similarity of 0.8 or more")
-    spark = texts.sparkSession
+
+    def add(table: pa.Table) -> pa.Table:
+        return _add(table, gathered)
+
     texts = texts.where("id is not null and text is not null").select("id", "text")
     # digests are made twice, which costs less than to keep the sketches of all texts
     digests = texts.mapInArrow(_digests, "id bigint, digest binary").distinct()
     members = digests.join(digests.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
     reps = cut(texts.mapInArrow(_sketch, _SKETCH).groupBy("digest", "kind").agg(F.min_by(F.struct("id", "n", "sketch", "tag"), "id").alias("x")).select("x.id", "x.n", "kind", "x.sketch", "x.tag"))
-    rates = {r["part"]: r["pairs"] for r in reps.select("sketch").mapInArrow(_bin_rates, "t int, part int, cells binary").groupBy("t", "part").applyInArrow(_add, "t int, part int, pairs double, keys bigint").collect()}
+    rates = {r["part"]: r["pairs"] for r in reps.select("sketch").mapInArrow(_bin_rates, "t int, part int, cells binary").groupBy("t", "part").applyInArrow(add, "t int, part int, pairs double, keys bigint, hot array<int>").collect()}
     rates = {b: rates.get(b, 0.0) for b in range(BINS)}
     layout = grouped_bins(rates)
-    found = reps.select("sketch", "kind").mapInArrow(partial(_forecast, layout=layout), "t int, part int, cells binary").groupBy("t", "part").applyInArrow(_add, "t int, part int, pairs double, keys bigint").collect()
+    found = reps.select("sketch", "kind").mapInArrow(partial(_forecast, layout=layout), "t int, part int, cells binary").groupBy("t", "part").applyInArrow(add, "t int, part int, pairs double, keys bigint, hot array<int>").collect()
     # a key costs about as much as a candidate pair: both are rows of an exchange
     cost = {(r["part"], r["t"]): r["pairs"] + r["keys"] for r in found} or {(i, t): 1.0 for i in range(len(layout)) for t in range(3)}
     thresholds = allocated(cost, len(layout))
     keys = sum(r["keys"] for r in found if thresholds[r["part"]] == r["t"])
-    buckets = 1 << max(4, min(20, math.ceil(math.log2(keys / 100_000 + 1))))
-    packed = "bucket int, low binary, ids binary, sizes binary"
+    cells = {r["part"]: r["hot"] for r in found if thresholds[r["part"]] == r["t"]}
+    cells = [cells.get(i, []) for i in range(len(layout))]
+    buckets = 1 << max(4, min(30, math.ceil(math.log2(keys / 100_000 + 1))))
+    packed, pairs = "bucket int, low binary, ids binary, sizes binary", "a bigint, b bigint, hot boolean"
 
     def first(table: pa.Table) -> pa.Table:
         return _pairs(table, hot)
 
+    def second(table: pa.Table) -> pa.Table:
+        return _pairs(table, block)
+
     def last(table: pa.Table) -> pa.Table:
-        return _pairs(table, len(table) + (1 << 62))
+        return _block_pairs(table, TAU)
 
     sketched = reps.select("id", "n", "kind", "sketch")
-    found = written(sketched.mapInArrow(partial(_probes, layout=layout, thresholds=thresholds, buckets=buckets), packed).groupBy("bucket").applyInArrow(first, "a bigint, b bigint, hot boolean").distinct())
+    found = written(sketched.mapInArrow(partial(_probes, layout=layout, thresholds=thresholds, buckets=buckets, hot=cells), packed).groupBy("bucket").applyInArrow(first, pairs).distinct())
     candidates = found.where("not hot").select("a", "b")
     again = found.where("hot").select(F.col("a").alias("hot"), F.col("b").alias("id"))
+    if any(cells):
+        again = again.unionByName(sketched.mapInArrow(partial(_hot_entries, layout=layout, thresholds=thresholds, buckets=buckets, hot=cells), "hot bigint, id bigint")).distinct()
     if not again.isEmpty():
         others = [allocated({k: v if k[0] != i else math.inf for k, v in cost.items()}, len(layout)) for i in range(len(layout))]
-        second = again.join(sketched, "id").select("hot", "id", "n", "kind", "sketch")
-        second = second.mapInArrow(partial(_second_probes, layout=layout, thresholds=thresholds, others=others, buckets=buckets), packed)
-        candidates = candidates.unionByName(second.groupBy("bucket").applyInArrow(last, "a bigint, b bigint, hot boolean").select("a", "b")).distinct()
+        probed = again.join(sketched, "id").select("hot", "id", "n", "kind", "sketch")
+        probed = probed.mapInArrow(partial(_second_probes, layout=layout, thresholds=thresholds, others=others, buckets=buckets), packed)
+        met = written(probed.groupBy("bucket").applyInArrow(second, pairs).distinct())
+        candidates = candidates.unionByName(met.where("not hot").select("a", "b"))
+        # texts that agree in two partitions and are still many: nearly all of them are near-copies. They are compared block
+        # by block, each pair of blocks in a task of its own, and only what is near by its tags comes out
+        many = met.where("hot").select(F.col("a").alias("code"), F.col("b").alias("id"))
+        sizes = many.groupBy("code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        placed = many.join(sizes, "code").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(reps.select("id", "tag"), "id")
+        beside = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("code", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "block", "tag")
+        candidates = candidates.unionByName(beside.groupBy("code", "p", "q").applyInArrow(last, "a bigint, b bigint")).distinct()
     side = reps.select("id", "kind", "tag")
     near = (
         candidates.join(side.select(F.col("id").alias("a"), "kind", F.col("tag").alias("tag_a")), "a")
@@ -412,3 +483,13 @@ def near_copy_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     many = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("a"))
     within = left.join(many, "a").join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def near_copy_groups(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, rep, links) of every id with a text: the least id of the texts that near-copies connect with it, also by way of
+    others, and how many different texts are near-copies of its own."""
+    links, members = near_copy_links(texts, threshold)
+    counts = links.select(F.explode(F.array("a", "b")).alias("own")).groupBy("own").agg(F.count("*").alias("links"))
+    linked = components(links.select(F.explode(F.array("a", "b")).alias("id"), F.col("a").alias("key"))).withColumnRenamed("id", "own").withColumnRenamed("component", "group")
+    rows = members.withColumnRenamed("rep", "own").join(counts, "own", "left").join(linked, "own", "left")
+    return rows.select("id", F.coalesce("group", "own").alias("rep"), F.coalesce("links", F.lit(0)).alias("links"))

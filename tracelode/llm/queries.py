@@ -30,6 +30,11 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(counts, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each chunk with a text: the least id of its group of near-copies, and how many texts are its own."""
+    return near_copies.near_copy_groups(table(spark, d, "chunks"))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.records(table(spark, d, "answers"), table(spark, d, "sources"))
 
@@ -136,7 +141,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded, p8_found, p8_matches, p9_found, p9_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_groups, p2_found, p2_shares, p2_origins, p3_found, p3_redacted, p3_withheld, p4_found, p4_pieces, p5_found, p5_forms, p6_found, p6_nearest, p7_ids, p7_decoded, p8_found, p8_matches, p9_found, p9_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
