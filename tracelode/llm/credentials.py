@@ -19,6 +19,7 @@ import base64
 import binascii
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -196,9 +197,10 @@ def _at(text: str, rule: tuple, begin: int, end: int) -> Iterator[tuple[str, int
     elif rule[0] == "armor":
         m = _ARMOR.match(text, begin)
         if m:
-            stop = _ARMOR_END.search(text, m.end())
+            # an end belongs to the last beginning before it, so no stretch is searched twice
             other = text.find("-----BEGIN", m.end())
-            if stop and not 0 <= other < stop.start():
+            stop = _ARMOR_END.search(text, m.end(), other if other >= 0 else len(text))
+            if stop:
                 body = text[m.end() : stop.start()]
                 if re.search(r"\.\.\.|…|<|\*{3}|(?i:redacted|placeholder|your[ _-])", body):
                     return
@@ -254,16 +256,20 @@ def findings(text: str | None) -> set[tuple[str, int, int]]:
         return set()
     found = _scan(text)
     if _JOINT.search(text):
-        # the same text with literals joined; offsets are carried back
-        parts, where, at = [], [], 0
-        for m in _JOINT.finditer(text):
-            parts.append(text[at : m.start()])
-            where += range(at, m.start())
-            at = m.end()
-        parts.append(text[at:])
-        where += range(at, len(text) + 1)
+        # the same text with literals joined; offsets are carried back by the pieces that they lie in
+        parts, ours, theirs, at = [], [], [], 0
+        for m in (*_JOINT.finditer(text), None):
+            ours.append(at)
+            theirs.append((theirs[-1] + len(parts[-1])) if parts else 0)
+            parts.append(text[at : m.start() if m else len(text)])
+            at = m.end() if m else len(text)
+
+        def back(i: int) -> int:
+            k = bisect_right(theirs, i) - 1
+            return ours[k] + i - theirs[k]
+
         for kind, b, e in _scan("".join(parts)):
-            found.add((kind, where[b], where[e - 1] + 1))
+            found.add((kind, back(b), back(e - 1) + 1))
     return found
 
 
@@ -292,7 +298,10 @@ def redacted(text: str | None) -> str | None:
 
 def lines(text: str | None) -> list[int]:
     """The lines on which a credential begins, also within the span of another."""
-    return sorted({1 + text.count("\n", 0, b) for _, b, _ in findings(text)}) if text else []
+    if not text:
+        return []
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    return sorted({1 + bisect_left(breaks, b) for _, b, _ in findings(text)})
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
