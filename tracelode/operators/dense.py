@@ -77,8 +77,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int, same: bool = True) -
         return top(vectors.mapInArrow(partial(_best, ids=ids, queries=q, n=n, same=same), found), n)
     parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.sparkSession.sparkContext.defaultParallelism)
     packed = "ids binary, values binary"
-    rows = vectors.mapInArrow(_blocks, packed).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    asked = queries.mapInArrow(_blocks, packed).select(F.col("ids").alias("qids"), F.col("values").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"))
+    rows = vectors.mapInArrow(_blocks, packed).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts).cast("bigint")))
+    asked = queries.mapInArrow(_blocks, packed).select(F.col("ids").alias("qids"), F.col("values").alias("queries"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
     return top(rows.join(asked, "part").select("ids", "values", "qids", "queries").mapInArrow(partial(_met, n=n, same=same), found), n)
 
 

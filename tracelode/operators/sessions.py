@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +88,37 @@ def citation_counts(answers: DataFrame, sources: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.greatest(F.size("ids"), F.lit(0))), F.lit(0)).alias("citations"),
         F.coalesce(F.sum(F.when(F.col("holds"), F.size(needed))), F.lit(0)).alias("needed"),
     )
+
+
+_CITED = re.compile(r"\[([NW]\d+(?:\s*,\s*[NW]\d+)*)\]")
+# What a quote is (one line without citations, 12 to 300 characters), and how far after it a citation may be.
+_QUOTED = re.compile(r"[\"“]([^\"”\[\]\n]{12,300})[\"”]")
+QUOTE_REACH = 80
+
+
+def _cited_quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(answer_id, quote, source_ids) for each quote with citations right after it, and one row (null, all cited ids)."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            groups = [(m.start(), [x.strip() for x in m[1].split(",")]) for m in _CITED.finditer(text)]
+            rows.append((key, None, [i for _, ids in groups for i in ids]))
+            for m in _QUOTED.finditer(text):
+                rows.append((key, m[1], [i for at, ids in groups if 0 <= at - m.end() <= QUOTE_REACH for i in ids]))
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["answer_id", "quote", "ids"])
+
+
+def quote_check(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(answer_id, uncited, unsupported) of (answer_id, text) and (answer_id, source_id, known, text): whether an answer with
+    sources cites nothing, and its quotes that no source cited right after them holds, case and blanks apart, in order of
+    their text. A quote whose citations name no source of the answer is not judged."""
+    quotes = answers.where("text is not null").select("answer_id", "text").mapInArrow(_cited_quotes, "answer_id bigint, quote string, ids array<string>")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    held = sources.select("answer_id", "source_id", "text").distinct()
+    met = quotes.where("quote is not null").select("answer_id", "quote", F.explode("ids").alias("source_id")).distinct().join(held, ["answer_id", "source_id"])
+    found = met.groupBy("answer_id", "quote").agg(F.bool_or(F.coalesce(plain(F.col("text")).contains(plain(F.col("quote"))), F.lit(False))).alias("found"))
+    wrong = found.where("not found").groupBy("answer_id").agg(F.sort_array(F.collect_set("quote")).alias("unsupported"))
+    some = sources.groupBy("answer_id").agg(F.lit(True).alias("some"))
+    rows = quotes.where("quote is null").join(some, "answer_id", "left").join(wrong, "answer_id", "left")
+    return rows.select("answer_id", ((F.size("ids") == 0) & F.coalesce("some", F.lit(False))).alias("uncited"), F.coalesce("unsupported", F.array().cast("array<string>")).alias("unsupported"))

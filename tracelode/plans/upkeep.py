@@ -246,13 +246,13 @@ def answerability(spark, d):
 CHANCE = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0"
 
 
-@query(f"""WITH u AS (SELECT user_id, avg(value) AS v FROM events GROUP BY user_id), r AS (SELECT b, v, {CHANCE.format("CAST(b AS VARCHAR) || ':' || CAST(user_id AS VARCHAR)")} AS c FROM range(200) t(b), u),
+@query(f"""WITH u AS (SELECT user_id, avg(value) AS v FROM events GROUP BY user_id), r AS (SELECT b, v, {CHANCE.format("CAST(b AS VARCHAR) || ':' || CAST(user_id AS VARCHAR)")} AS c FROM range(10000) t(b), u),
 w AS (SELECT b, v, {" + ".join(f"CAST(c >= {p} AS INT)" for p in measures.POISSON)} AS w FROM r), m AS (SELECT b, sum(w * v) / sum(w) AS mean FROM w GROUP BY b)
 SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS resamples FROM m""")
 def bootstrap_interval(spark, d):
-    """A bootstrap of users' means: 200 reproducible resamples, each one aggregate."""
+    """A bootstrap of users' means: 10,000 reproducible resamples, each one aggregate."""
     users = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"))
-    drawn = users.select("user_id", "v", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).withColumn("w", measures.resample_weight(F.col("b"), F.col("user_id")))
+    drawn = users.select("user_id", "v", F.explode(F.sequence(F.lit(0), F.lit(9_999))).alias("b")).withColumn("w", measures.resample_weight(F.col("b"), F.col("user_id")))
     means = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
     return means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"), F.count("*").alias("resamples"))
 

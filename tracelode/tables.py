@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,14 +16,18 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a private one only where none is named (tests, one machine)."""
+    """The shared folder that the cluster names. Where none is named and driver and executors are one process, a private
+    one that goes with it; on a cluster a folder must be named, as one machine's own is lost with the machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not named:
-        named = os.path.join(tempfile.gettempdir(), f"tracelode-checkpoints-{os.getuid()}")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tracelode-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
