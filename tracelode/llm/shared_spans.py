@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.arrays import BASE, U64, bundles, gram_hashes, mix, points
-from tracelode.tables import cut
+from tracelode.tables import written
 
 SPAN = 100
 BUDGET = 1_000_000
@@ -125,10 +125,10 @@ def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
     that stand word for word in the record `other`; stretches may overlap."""
     k = span // 2
     texts = texts.where((F.length("text") >= span) & F.col("rec").isNotNull()).groupBy("rec").agg(F.min("text").alias("text"))
-    texts = cut(texts)
-    all_anchors = cut(texts.mapInArrow(partial(_anchored, span=span), _ANCHORS))
+    texts = written(texts)
+    all_anchors = written(texts.mapInArrow(partial(_anchored, span=span), _ANCHORS))
     nodes = all_anchors.groupBy("node").agg(F.count("*").alias("n"), F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("node", "n")
-    repeated = cut(all_anchors.join(nodes, "node"))
+    repeated = written(all_anchors.join(nodes, "node"))
     spot = F.struct("rec", F.col("pos").alias("at"))
     edges = repeated.where("edge is not null").groupBy("edge").agg(F.count("*").alias("times"), F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo.rec <> hi.rec")
     along = Window.partitionBy("rec").orderBy("pos")
@@ -142,10 +142,10 @@ def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
         .where(F.col("last") - F.col("first") >= span)
         .select("rec", "first", "last", F.col("o.other").alias("other"), F.col("o.place").alias("other_first"))
     )
-    paths = cut(paths)
+    paths = written(paths)
     marks = repeated.groupBy("rec").agg(F.collect_list("pos").alias("marks"))
     inside = paths.groupBy("rec").agg(F.collect_list(F.struct("first", "last")).alias("paths"))
-    windows = cut(texts.join(marks, "rec").join(inside, "rec", "left").select("rec", "text", "marks", "paths").mapInArrow(partial(_windows, span=span), "h bigint, rec bigint, i int"))
+    windows = written(texts.join(marks, "rec").join(inside, "rec", "left").select("rec", "text", "marks", "paths").mapInArrow(partial(_windows, span=span), "h bigint, rec bigint, i int"))
     spot = F.struct("rec", F.col("i").alias("at"))
     met = windows.groupBy("h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo.rec <> hi.rec")
     along = Window.partitionBy("rec").orderBy("i")
