@@ -478,3 +478,15 @@ def test_whole_quotes_in_blocks(spark, monkeypatch):
     quotes = spark.createDataFrame([("river",), ("a river runs",), ("none of it",)], "quote string")
     texts = spark.createDataFrame([(1, "a river runs by"), (2, "river"), (3, "")], "source_key bigint, text string")
     assert {tuple(r) for r in spans.holders(quotes, texts).collect()} == {("river", 1), ("a river runs", 1), ("river", 2)}
+
+
+def test_quote_spans_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        lines_ = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 4))) + rng.choice(["", " ", "\t"]) for _ in range(rng.randint(1, 7))]
+        quote = " ".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))
+        plain = [" ".join(x.split()) for x in lines_]
+        holds = [(j, -i) for i in range(len(plain)) for j in range(i, len(plain)) if quote in " ".join(x for x in plain[i : j + 1] if x) and plain[i] and plain[j]]
+        want = (1 - min(holds)[1], 1 + min(holds)[0]) if holds else None
+        assert gold.quote_span("\n".join(lines_), quote) == want
+    assert gold.quote_span("", "a") is None and gold.quote_span("a", " ") is None

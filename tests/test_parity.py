@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tracelode.plans import catalog, gold, more, search, sessions, text, upkeep  # noqa: F401
+from tracelode.plans import catalog, extra, gold, more, search, sessions, text, upkeep  # noqa: F401
 
 DATA = os.environ.get("PARITY_DIR", "/root/testdata/sf0.001")
 

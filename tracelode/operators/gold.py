@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +58,38 @@ def paired(runs: DataFrame, resamples: int = 10_000) -> DataFrame:
     counts = d.agg(F.avg("d").alias("mean"), F.count_if(F.col("d") > 1e-9).alias("wins"), F.count_if(F.abs("d") <= 1e-9).alias("ties"), F.count_if(F.col("d") < -1e-9).alias("losses"))
     # both sides are one row
     return counts.join(F.broadcast(interval)).select("mean", "low", "high", "wins", "ties", "losses")
+
+
+def quote_span(text: str, quote: str) -> tuple[int, int] | None:
+    """The first and last line, from 1, of the smallest run of lines that holds the quote, blanks and case apart: the one
+    that ends first, and of those the one that begins last. None where no run does."""
+    plain = [" ".join(line.lower().split()) for line in text.split("\n")]
+    wanted = " ".join(quote.lower().split())
+    if not wanted:
+        return None
+    joined = " ".join(x for x in plain if x)
+    at = joined.find(wanted)
+    if at < 0:
+        return None
+    # where each line that is not blank begins and ends in the joined text
+    spans, pos = [], 0
+    for n, x in enumerate(plain, 1):
+        if x:
+            spans.append((pos, pos + len(x), n))
+            pos += len(x) + 1
+    # the earliest end over all places; at that end the latest beginning
+    last = next(n for b, e, n in spans if e >= at + len(wanted))
+    stop = next(e for b, e, n in spans if n == last)
+    first = joined.rfind(wanted, 0, stop)
+    return next(n for b, e, n in reversed(spans) if b <= first), last
+
+
+def located(pairs: DataFrame) -> DataFrame:
+    """(quote, source_key, first_line, last_line) of (quote, source_key, text): where each quote stands in the text."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = [quote_span(t, q) if t is not None else None for q, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s and s[0] for s in spots], pa.int32()), pa.array([s and s[1] for s in spots], pa.int32())], names=["quote", "source_key", "first_line", "last_line"])
+
+    return pairs.select("quote", "source_key", "text").mapInArrow(found, "quote string, source_key bigint, first_line int, last_line int")

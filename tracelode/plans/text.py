@@ -266,12 +266,12 @@ def line_shapes(spark, d):
 
 
 @query(r"""SELECT DISTINCT id FROM chunks WHERE text IS NOT NULL AND length(regexp_replace(text, '\s', '', 'g')) > 0 AND
-list_avg(list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x))), lambda x: x > 0)) > 150""")
+list_avg(list_filter(list_transform(string_split(text, chr(10)), lambda x: length(trim(x))), lambda x: x > 0)) > 500""")
 def long_lined(spark, d):
-    """Texts whose lines are on average above 150 characters, as minified code is."""
+    """Texts whose lines are on average above 500 characters, as minified code is."""
     sizes = F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))), lambda x: x > 0)
     mean = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size(sizes)
-    return table(spark, d, "chunks").where("text is not null").where(F.size(sizes) > 0).where(mean > 150).select("id").distinct()
+    return table(spark, d, "chunks").where("text is not null").where(F.size(sizes) > 0).where(mean > 500).select("id").distinct()
 
 
 @query(r"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
