@@ -28,8 +28,9 @@ CELL = 4
 
 def word_count(text: Column) -> Column:
     """Pieces between blanks that hold a letter, a CJK character counting as half a word."""
-    pieces = F.size(F.filter(F.split(F.regexp_replace(text, CJK, " "), r"(?U)\s+"), lambda x: x.rlike(r"\p{L}")))
-    return (F.length(text) - F.length(F.regexp_replace(text, CJK, ""))) / 2 + pieces
+    pieces = lambda c, blank: F.size(F.filter(F.split(c, blank), lambda x: x.rlike(r"\p{L}")))
+    mixed = (F.length(text) - F.length(F.regexp_replace(text, CJK, ""))) / 2 + pieces(F.regexp_replace(text, CJK, " "), r"(?U)\s+")
+    return F.when(F.octet_length(text) == F.length(text), pieces(text, r"\s+").cast("double")).otherwise(mixed)
 
 
 def features(texts: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def features(texts: DataFrame) -> DataFrame:
     number, date or time (`digit_led`), or are an address or numbers alone (`addresses`); characters of the whole text."""
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     kept_lines = texts.where("text is not null").select("id", F.length(strip(F.col("text"))).alias("chars"), F.filter(F.transform(lines("text"), strip), lambda x: x != "").alias("l"))
-    rows = kept_lines.select("id", "chars", F.size("l").alias("total"), F.posexplode("l").alias("n", "line"))
+    # the outer form keeps the optimizer from testing for empty lists first, which would cut every text a second time
+    rows = kept_lines.select("id", "chars", F.size("l").alias("total"), F.posexplode_outer("l").alias("n", "line")).where("n is not null")
     middle = F.floor(F.col("total") / 2)
     kept = (F.col("total") <= WHOLE) | (F.col("n") < PART) | (F.col("n") >= F.col("total") - PART) | F.col("n").between(middle - PART // 2, middle + PART // 2 - 1)
     rows = rows.where(kept).select(
@@ -61,7 +63,7 @@ def features(texts: DataFrame) -> DataFrame:
     # one more pass over the lines, aggregated before it is exchanged: how often each start and each number of delimiters
     # occurs, and in lines with short cells. Of equally frequent ones the first seen is the mode
     short = lambda e: F.forall(F.split("line", e, -1), lambda x: word_count(x) <= CELL)
-    cells = [F.struct(F.lit(d).alias("kind"), (F.size(F.split("line", e, -1)) - 1).cast("string").alias("value"), short(e).alias("short")) for d, e in ((",", ","), ("tab", "\t"), (";", ";"), ("|", r"\|"))]
+    cells = [F.struct(F.lit(d).alias("kind"), (F.size(F.split("line", e, -1)) - 1).cast("string").alias("value"), (F.contains(F.col("line"), F.lit(c)) & short(e)).alias("short")) for d, e, c in ((",", ",", ","), ("tab", "\t", "\t"), (";", ";", ";"), ("|", r"\|", "|"))]
     values = F.array(F.struct(F.lit("stamp").alias("kind"), shape(F.substring("line", 1, 16)).alias("value"), F.lit(False).alias("short")), *cells)
     counts = rows.select("id", "n", F.explode(values).alias("v")).groupBy("id", "v.kind", "v.value").agg(F.count("*").alias("times"), F.min("n").alias("first"), F.count_if("v.short").alias("rows"))
     modes = counts.groupBy("id", "kind").agg(F.max_by(F.struct("value", "times", "rows"), F.struct("times", -F.col("first"))).alias("m"))
