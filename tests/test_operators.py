@@ -377,6 +377,12 @@ def test_stream_equals_rebuild(spark, tmp_path):
         want = sorted(map(tuple, ingest.chunk_table(spark.createDataFrame(seen, "path string, version bigint, text string")).select("path", "ordinal", "section", "text").collect()))
         assert got == want
     assert {r[0] for r in got} == {"a", "c"}
+    ingest.vacuum(spark, table)
+    assert sorted(map(tuple, ingest.current(spark, table).select("path", "ordinal", "section", "text").collect())) == want
+    (tmp_path / "bad" / "versions").mkdir(parents=True)
+    (tmp_path / "bad" / "versions" / "x.parquet").write_text("not a table")
+    with pytest.raises(Exception, match="."):
+        ingest.current(spark, str(tmp_path / "bad")).count()
 
 
 # --- gold sets, records, answers, rules -----------------------------------------------------------------------------
