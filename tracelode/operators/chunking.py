@@ -73,18 +73,24 @@ def python_chunks(sources: DataFrame) -> DataFrame:
 
 
 def packed_lines(documents: DataFrame, most: int) -> DataFrame:
-    """(doc_id, chunk, first_line, last_line, chars): lines joined while they fit; a longer line stands alone."""
-    start = F.array().cast("array<struct<first:bigint,last:bigint,chars:bigint>>")
-    sized = F.transform(lines("text"), lambda x, i: F.struct((i + 1).cast("bigint").alias("n"), F.length(x).cast("bigint").alias("size")))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (last["chars"] + 1 + x["size"] <= most)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), x["n"].alias("last"), (last["chars"] + 1 + x["size"]).alias("chars"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(x["n"].alias("first"), x["n"].alias("last"), x["size"].alias("chars")))))
-
-    packed = documents.where("text is not null").select("doc_id", F.posexplode(F.aggregate(sized, start, step)).alias("i", "c"))
-    return packed.select("doc_id", (F.col("i") + 1).cast("bigint").alias("chunk"), F.col("c.first").alias("first_line"), F.col("c.last").alias("last_line"), F.col("c.chars").alias("chars"))
+    """(doc_id, chunk, first_line, last_line, chars): lines joined while they fit; a longer line stands alone. Only the
+    lines' lengths leave the scan."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = []
+            for key, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                chunk = 0
+                for n, size in enumerate(sizes, 1):
+                    if chunk and rows[-1][4] + 1 + size <= most:
+                        rows[-1][3:] = [n, rows[-1][4] + 1 + size]
+                    else:
+                        chunk += 1
+                        rows.append([key, chunk, n, n, size])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "chunk", "first_line", "last_line", "chars"])
+
+    sizes = documents.where("text is not null").select("doc_id", F.transform(lines("text"), lambda x: F.length(x)).alias("sizes"))
+    return sizes.mapInArrow(packed, "doc_id bigint, chunk bigint, first_line bigint, last_line bigint, chars bigint")
 
 
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t#]*$")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -310,17 +313,22 @@ def run_diff(spark, d):
 
 @query()
 def shards(spark, d):
-    """Sources laid largest first onto the least loaded of four workers. A fold over one row for each source."""
-    sizes = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.sum(F.length("text")).alias("size"))
-    listed = sizes.agg(F.reverse(F.sort_array(F.collect_list(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "source")))).alias("l"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), 4).alias("load"), F.array().cast("array<struct<source:string,worker:int>>").alias("out"))
-
-    def step(acc, x):
-        least = (F.array_position(acc["load"], F.array_min(acc["load"])) - 1).cast("int")
-        load = F.transform(acc["load"], lambda v, i: F.when(i == least, v + x["size"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(F.struct(x["source"].alias("source"), least.alias("worker")))).alias("out"))
-
-    return listed.select(F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select("o.source", "o.worker")
+    """Sources laid largest first onto the least loaded of four workers: one ordered pass over a row for each source, with
+    a heap of the workers as its state."""
+    sizes = table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size"))
+
+    def laid(batches):
+        heap = [(0, w) for w in range(4)]
+        for batch in batches:
+            out = []
+            for source, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                load, worker = heap[0]
+                heapq.heapreplace(heap, (load + size, worker))
+                out.append((source, worker))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([w for _, w in out], pa.int32())], names=["source", "worker"])
+
+    # ordered within one partition: a row for each source, streamed batch by batch, never gathered
+    return sizes.select("source", "size").coalesce(1).sortWithinPartitions(F.desc("size"), F.desc("source")).mapInArrow(laid, "source string, worker int")
 
 
 @query()
