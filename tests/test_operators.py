@@ -4,7 +4,9 @@ import io
 import json
 import math
 import random
+import re
 import zipfile
+from functools import partial
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import calls, udfs
 from tracelode.functions import text as T
-from tracelode.operators import chunking, datafilter, dense, gold, index, lexical, linkage, measures, privacy, ranking, records, sessions, stored
+from tracelode.operators import chunking, datafilter, dense, gold, index, lexical, linkage, measures, meeting, privacy, ranking, records, sessions, stored
 from tracelode.sources import logs, parse, rules, walk
 from tracelode.streaming import ingest
 
@@ -82,6 +84,51 @@ def test_stored_index_equals_scan(spark, tmp_path):
     assert stored.search(spark, str(tmp_path), q.where("false")).count() == 0
 
 
+def met_here(scored, reduce, monkeypatch):
+    """The rows of one part in this process, with small blocks, chunks and batches."""
+    for name, value in {"BLOCK": 7, "CHUNK": 3, "PAIRS": 20, "COLUMNS": 2}.items():
+        monkeypatch.setattr(meeting, name, value)
+    rows = [meeting._laid(x, {"part": F.lit(0), "kind": F.lit(k)}) for k, x in enumerate((scored.documents, scored.queries.drop("times")))]
+    batches = [b for r in rows for b in r.toArrow().combine_chunks().to_batches(max_chunksize=13)]
+    return [tuple(r.values()) for b in meeting._meet(iter(batches), reduce) for r in b.to_pylist()]
+
+
+def words_and_questions(spark, seed):
+    """Tables of 60 texts and 11 queries, some empty, and the unrounded scores of all pairs that meet."""
+    rng = random.Random(seed)
+    docs = {i: [rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.randint(1, 26)]) for _ in range(rng.randint(0, 12))] for i in range(60)}
+    docs[7], docs[61] = ["rare", "a"], docs[3]
+    asked = {q: [rng.choice("aabcxyz!") for _ in range(rng.randint(0, 6))] for q in range(10)} | {10: ["rare", "a", "a"]}
+    n, avg = len(docs), sum(max(1, len(t)) for t in docs.values()) / len(docs)
+    df = {t: sum(t in x for x in docs.values()) for x in docs.values() for t in x}
+    part = lambda t, x: math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * x.count(t) / (1.5 * (0.25 + 0.75 * len(x) / avg) + x.count(t))
+    want = {(q, i): sum(part(t, x) for t in w if t in x) for q, w in asked.items() for i, x in docs.items() if set(w) & set(x)}
+    frames = (spark.createDataFrame(list(rows.items()), f"{k} bigint, tokens array<string>") for k, rows in (("id", docs), ("qid", asked)))
+    return *frames, docs, asked, df, want
+
+
+def first_of(want, n):
+    lists = {}
+    for (q, i), s in want.items():
+        lists.setdefault(q, []).append((-round(s, 6), i))
+    return {(q, i, r + 1): pytest.approx(-s) for q, x in lists.items() for r, (s, i) in enumerate(sorted(x)[:n])}
+
+
+def test_best_by_words_and_vectors_by_brute_force(spark, monkeypatch):
+    docs, asked, texts, questions, df, want = words_and_questions(spark, 3)
+    scored = lexical.Scored(docs, asked)
+    got = scored.best(4)
+    assert {(r["qid"], r["id"], r["rank"]): r["score"] for r in got.collect()} == {k: v.expected for k, v in first_of(want, 4).items()}
+    # of each part only the best go on, pairs are not exchanged
+    assert not re.search(r"Aggregate\(keys=\[qid#\d+L, id#", got._jdf.queryExecution().executedPlan().toString())
+    here = met_here(scored, partial(meeting.best, score=scored._score(), n=4, least=1e-6), monkeypatch)
+    assert {x[:2]: x[2] for x in here} == {k[:2]: v.expected for k, v in first_of(want, 4).items()}
+    assert {x[:2]: x[2] for x in met_here(scored, partial(meeting.every, score=scored._score()), monkeypatch)} == pytest.approx(want)
+    near = {(r["qid"], r["id"]): r["score"] for r in dense.hashed_nearest(docs, asked, 5).collect()}
+    old = {(r["qid"], r["id"]): r["score"] for r in dense.nearest(dense.hashed_vectors(docs), dense.hashed_vectors(asked, "qid"), 5).collect()}
+    assert near == pytest.approx(old) and len(old) > 40
+
+
 def ranked(spark, scores):
     return spark.createDataFrame([(1, i, float(s)) for i, s in scores], "qid bigint, id bigint, score double")
 
