@@ -25,12 +25,16 @@ def run_measures(run: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def auroc(scored: DataFrame) -> DataFrame:
-    """One row: the chance that a positive scores above a negative, ties counting half; of (score, positive).
+    """One row: the chance that a positive scores above a negative, ties counting half; of (score, positive)."""
+    return auroc_of_counts(scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")))
+
+
+def auroc_of_counts(by_score: DataFrame) -> DataFrame:
+    """The same of (score, p, n), a row for each score with its positives and negatives.
 
     By counts of each score, running sums within a thousand ranges of scores, and those of the ranges before: no window
     holds all rows."""
-    by_score = scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    span = scored.agg(F.min("score").alias("lo"), F.greatest(F.max("score") - F.min("score"), F.lit(1e-9)).alias("width"))
+    span = by_score.agg(F.min("score").alias("lo"), F.greatest(F.max("score") - F.min("score"), F.lit(1e-9)).alias("width"))
     ranged = by_score.join(F.broadcast(span)).withColumn("range", F.floor(1000 * (F.col("score") - F.col("lo")) / F.col("width")))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))

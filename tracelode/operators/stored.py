@@ -28,13 +28,20 @@ def build(tokens: DataFrame, path: str) -> None:
     lexical.statistics(tokens).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) of (qid, tokens), equal to lexical.scores of what was indexed."""
+def scored(spark: SparkSession, path: str, queries: DataFrame) -> lexical.Scored:
+    """What lexical.against makes of (qid, tokens) and of what was indexed."""
     asked = lexical.terms(queries, "qid").groupBy("qid", "term").agg(F.count("*").alias("times")).withColumn("bucket", _bucket())
     # at most BUCKETS numbers: the folders to open
     wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
     postings, terms = (spark.read.parquet(f"{path}/{x}").where(F.col("bucket").isin(wanted)) for x in ("postings", "terms"))
-    part = lexical.term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    n, avgdl = spark.read.parquet(f"{path}/statistics").first()
     weighed = asked.join(terms, ["bucket", "term"])
-    hits = postings.join(weighed, ["bucket", "term"]).join(F.broadcast(spark.read.parquet(f"{path}/statistics")))
-    return hits.groupBy("qid", "id").agg(F.sum(part * F.col("times")).alias("score"))
+    hits = postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    word = F.struct(F.xxhash64("term").alias("key"), F.col("tf").cast("double").alias("tf"))
+    documents = hits.groupBy("id").agg(F.first("dl").alias("length"), F.collect_list(word).alias("w")).select("id", "length", F.col("w.key").alias("keys"), F.col("w.tf").alias("weights"))
+    return lexical.Scored(documents, lexical.weighed(weighed, n), avgdl or 1.0, n * (avgdl or 1.0))
+
+
+def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """(qid, id, score) of (qid, tokens), equal to lexical.scores of what was indexed."""
+    return scored(spark, path, queries).every()

@@ -13,7 +13,7 @@ from tracelode.operators import index, linkage, measures, privacy, ranking
 from tracelode.plans import search
 from tracelode.plans.catalog import query
 from tracelode.plans.search import BM25, DENSE, FUSED, LEX_TOP
-from tracelode.tables import table
+from tracelode.tables import table, written
 
 
 def _orders(spark, d, keep):
@@ -204,12 +204,7 @@ QRELS = "qr AS (SELECT qid, id, CAST(max(CASE WHEN df <= 5 THEN 2 ELSE 1 END) AS
 
 
 def judged(spark, d, words=None):
-    from tracelode.operators import lexical
-
-    asked = search.questions(spark, d).select("qid", F.explode("tokens").alias("term")).distinct()
-    hits = lexical.postings(words or search.corpus(spark, d)).join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).where("df <= 20")
-    return hits.join(df, "term").join(asked, "term").groupBy("qid", "id").agg(F.max(F.when(F.col("df") <= 5, 2).otherwise(1)).cast("bigint").alias("grade"))
+    return search.scored(spark, d, words).judged()
 
 
 @query(f"""WITH {BM25}, {DENSE}, {LEX_TOP}, {FUSED}, {QRELS}, i AS (SELECT qid, sum(grade / log2(n + 1)) FILTER (WHERE n <= 10) AS ideal, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS n FROM qr) GROUP BY qid),
@@ -242,8 +237,7 @@ def recall_by_depth(spark, d):
 @query(f"""WITH {BM25}, {QRELS} SELECT l.qid, max(score) AS best_without FROM lex l WHERE NOT EXISTS (SELECT 1 FROM qr WHERE qr.qid = l.qid AND qr.id = l.id) GROUP BY l.qid""")
 def answerability(spark, d):
     """Each query's best score once its relevant documents are taken away."""
-    words = search.corpus(spark, d)
-    return search.lexical_scores(spark, d, words).join(judged(spark, d, words), ["qid", "id"], "left_anti").groupBy("qid").agg(F.max("score").alias("best_without"))
+    return search.scored(spark, d).summary().where("without is not null").select("qid", F.col("without").alias("best_without"))
 
 
 CHANCE = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296.0"
