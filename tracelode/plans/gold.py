@@ -116,8 +116,7 @@ def answer_quotes(spark, d):
 b AS (SELECT qid, source, id, score, matches, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source) AS "rank" FROM s WHERE r = 1) SELECT qid, source, id, score, matches, "rank" FROM b WHERE "rank" <= 30""")
 def ranked_files(spark, d):
     """Files (here: sources) by their best text, each once, with how many of its texts match; the first thirty."""
-    rows = search.lexical_scores(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source").where("source is not null"), "id")
-    best = rows.groupBy("qid", "source").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"), F.count("*").alias("matches")).select("qid", "source", "b.id", "b.score", "matches")
+    best = search.scored(spark, d, labels=search.sources(spark, d)).by_label().withColumnRenamed("label", "source")
     return ranking.top(best, 30, "source").select("qid", "source", "id", "score", "matches", F.col("rank").cast("bigint").alias("rank"))
 
 
