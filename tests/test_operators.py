@@ -161,7 +161,7 @@ def test_summary_labels_judgements_ranks_and_dots_by_brute_force(spark, monkeypa
 
 
 # Queries that lay out no pair of a question and a document which is not a result, and exchange no vectors of words.
-MET = ["answerability", "best_of_each_source", "matches_per_query", "answerable", "bm25_top", "ranked_files"]
+MET = ["answerability", "best_of_each_source", "matches_per_query", "answerable", "bm25_top", "ranked_files", "hybrid_minmax"]
 
 
 @pytest.mark.parametrize("name", MET)
