@@ -212,7 +212,7 @@ g AS (SELECT qid, sum(grade / log2(rank + 1)) FILTER (WHERE rank <= 10) AS gain,
 SELECT qid, round(coalesce(gain / ideal, 0), 6) AS ndcg10, round(coalesce(in10 / relevant, 0), 6) AS recall10, round(coalesce(in100 / relevant, 0), 6) AS recall100, round(coalesce(1.0 / first, 0), 6) AS mrr10 FROM i LEFT JOIN g USING (qid)""")
 def ir_measures(spark, d):
     words = search.corpus(spark, d)
-    return measures.run_measures(search.fused(spark, d, words), judged(spark, d, words))
+    return measures.run_measures(search.fused(spark, d, words), written(judged(spark, d, words)))
 
 
 @query(f"""WITH {BM25}, {QRELS}, s AS (SELECT lex.qid, lex.id, score, qr.id IS NOT NULL AS positive FROM lex LEFT JOIN qr USING (qid, id)), g AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS n FROM s GROUP BY score),
