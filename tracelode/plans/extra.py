@@ -82,8 +82,10 @@ def pooled(spark, d):
     words = search.corpus(spark, d)
     lex, near = search.both_views(spark, d, words)
     longest = search.questions(spark, d).select("qid", F.posexplode("tokens").alias("n", "term")).groupBy("qid").agg(F.max_by("term", F.struct(F.length("term").alias("l"), (-F.col("n")).alias("n"))).alias("term"))
-    hits = lexical.terms(words).select("id", "term").distinct().join(longest, "term")
-    first = hits.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where("n <= 10")
+    # the first ten of each word, of which a task sends no more than it has found
+    hits = lexical.terms(words.withColumn("tokens", F.array_distinct("tokens"))).select("id", "term")
+    hits = hits.withColumn("n", F.dense_rank().over(Window.partitionBy("term").orderBy("id"))).where("n <= 10")
+    first = hits.join(longest, "term")
     fused = ranking.fuse_min_max(lex, near.drop("rank"), n=search.DEPTH).where("rank <= 10")
     views = [("grep", first), ("words", ranking.top(lex, 10)), ("vectors", near.where("rank <= 10")), ("both", fused)]
     rows = [v.select("qid", "id", F.lit(name).alias("view")) for name, v in views]
