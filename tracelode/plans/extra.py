@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 from tracelode.operators import gold, lexical, measures, ranking, spans
-from tracelode.plans import search, upkeep
+from tracelode.plans import search
 from tracelode.plans.catalog import query
 from tracelode.plans.search import BM25, DENSE, FUSED, LEX_TOP
 from tracelode.plans.text import _in
 from tracelode.plans.upkeep import QRELS
-from tracelode.tables import table
+from tracelode.tables import table, written
 
 #: Declared folders in their order; the first that holds a path names its place.
 ROOTS = ("/vault/code", "/vault/library", "/vault")
@@ -98,12 +98,9 @@ SELECT corpus, round(any_value(tau), 5) AS threshold, round(avg(CASE WHEN withou
 def rejection(spark, d):
     """How many queries are rejected without their relevant documents, and wrongly with them, by a threshold that a tenth of
     the queries of all other collections fall below."""
-    words = search.corpus(spark, d)
-    scores, qr = search.lexical_scores(spark, d, words), upkeep.judged(spark, d, words)
-    whole = scores.groupBy("qid").agg(F.max("score").alias("whole"))
-    without = scores.join(qr, ["qid", "id"], "left_anti").groupBy("qid").agg(F.max("score").alias("without"))
+    best = written(search.scored(spark, d).summary().select("qid", F.col("best").alias("whole"), "without"))
     corpus = table(spark, d, "chunks").groupBy(F.col("id").alias("qid")).agg(F.min(F.regexp_extract("path", "^/vault/([^/]+)/", 1)).alias("corpus"))
-    rows = whole.join(without, "qid", "left").join(corpus, "qid")
+    rows = best.join(corpus, "qid")
     # a query counts for every collection but its own; collections are few, as they are top folders
     own, names = rows.select("whole", F.col("corpus").alias("own")), rows.select("corpus").distinct().groupBy().agg(F.collect_list("corpus").alias("names"))
     others = own.join(F.broadcast(names)).select("whole", "own", F.explode("names").alias("corpus")).where("own <> corpus")
