@@ -218,9 +218,7 @@ def ir_measures(spark, d):
 @query(f"""WITH {BM25}, {QRELS}, s AS (SELECT lex.qid, lex.id, score, qr.id IS NOT NULL AS positive FROM lex LEFT JOIN qr USING (qid, id)), g AS (SELECT score, count(*) FILTER (WHERE positive) AS p, count(*) FILTER (WHERE NOT positive) AS n FROM s GROUP BY score),
 b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auroc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM b""")
 def auroc(spark, d):
-    words = search.corpus(spark, d)
-    rows = search.lexical_scores(spark, d, words).join(judged(spark, d, words), ["qid", "id"], "left")
-    return measures.auroc(rows.select("score", F.col("grade").isNotNull().alias("positive")))
+    return measures.auroc_of_counts(written(search.scored(spark, d).ranks()))
 
 
 @query(f"""WITH {BM25}, {QRELS}, l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM lex QUALIFY r <= 100), c AS (SELECT qid, count(*) AS rel FROM qr GROUP BY qid),
