@@ -226,8 +226,8 @@ h AS (SELECT qid, count(*) FILTER (WHERE r <= 10) AS a, count(*) FILTER (WHERE r
 SELECT round(avg(coalesce(a, 0) / rel), 6) AS at10, round(avg(coalesce(b, 0) / rel), 6) AS at30, round(avg(coalesce(e, 0) / rel), 6) AS at100, count(*) AS queries FROM c LEFT JOIN h USING (qid)""")
 def recall_by_depth(spark, d):
     words = search.corpus(spark, d)
-    qr = judged(spark, d, words)
-    hit = ranking.top(search.lexical_scores(spark, d, words), 100).join(qr, ["qid", "id"]).groupBy("qid").agg(*[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in (10, 30, 100)])
+    qr = written(judged(spark, d, words))
+    hit = search.scored(spark, d, words).best(100).join(qr, ["qid", "id"]).groupBy("qid").agg(*[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in (10, 30, 100)])
     rows = qr.groupBy("qid").agg(F.count("*").alias("rel")).join(hit, "qid", "left")
     return rows.agg(*[F.round(F.avg(F.coalesce(F.col(f"n{k}"), F.lit(0)) / F.col("rel")), 6).alias(f"at{k}") for k in (10, 30, 100)], F.count("*").alias("queries"))
 
