@@ -161,7 +161,7 @@ def test_summary_labels_judgements_ranks_and_dots_by_brute_force(spark, monkeypa
 
 
 # Queries that lay out no pair of a question and a document which is not a result, and exchange no vectors of words.
-MET = ["answerability", "best_of_each_source", "matches_per_query", "answerable", "bm25_top", "ranked_files", "hybrid_minmax", "ir_measures", "pooled", "rerank_union", "bm25_stored", "rejection", "sparse_dot", "bm25_auto", "folded_files", "pooling", "rerank_head", "auroc", "bm25_search", "dense_hashed_top", "hybrid_reciprocal", "recall_by_depth", "scoped_search"]
+MET = ["answerability", "best_of_each_source", "matches_per_query", "answerable", "bm25_top", "ranked_files", "hybrid_minmax", "ir_measures", "pooled", "rerank_union", "bm25_stored", "rejection", "sparse_dot", "bm25_auto", "scoped_search", "folded_files", "pooling", "rerank_head", "auroc", "bm25_search", "dense_hashed_top", "hybrid_reciprocal", "recall_by_depth"]
 
 
 @pytest.mark.parametrize("name", MET)
