@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import calls, udfs
 from tracelode.functions import text as T
-from tracelode.operators import chunking, datafilter, dense, gold, index, lexical, linkage, measures, meeting, privacy, ranking, records, sessions, stored
+from tracelode.operators import chunking, copies, datafilter, dense, gold, index, lexical, linkage, measures, meeting, privacy, ranking, records, sessions, stored
 from tracelode.plans import catalog, extra, gold as gold_plans, more, search, upkeep  # noqa: F401
 from tracelode.sources import logs, parse, rules, walk
 from tracelode.streaming import ingest
@@ -176,6 +176,35 @@ def test_queries_lay_out_no_pairs(spark, monkeypatch, name):
     catalog.queries()[name](spark, os.environ.get("PARITY_DIR", "/root/testdata/sf0.001")).collect()
 
 
+def test_folded_files_cut_no_shingles_beside_lists(spark, monkeypatch):
+    def refused(*args, **named):
+        raise AssertionError("sets beside lists")
+
+    monkeypatch.setattr(T, "shingles", refused)
+    assert catalog.queries()["folded_files"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_in_lists_are_by_brute_force(spark):
+    rng = random.Random(7)
+    texts, base = {1: "", 2: "Maß", 3: "mass ", 4: "masse", 5: "ab" * 600}, ""
+    for i in range(6, 40):
+        if i % 6 == 0:
+            base = "".join(rng.choice("abcde \n猫é") for _ in range(rng.choice([12, 90, 900])))
+        x = list(base)
+        for _ in range(rng.randrange(1 + len(x) // 70)):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        texts[i] = "".join(x)
+    lists = [(q, r, i) for q in range(6) for r, i in enumerate(rng.sample(sorted(texts), 25))]
+    got = copies.near_in_lists(spark.createDataFrame(lists, "qid bigint, rank int, id bigint"), spark.createDataFrame([*texts.items(), (99, None)], "id bigint, text string"))
+
+    def cut(t):
+        t = re.sub(r"^ | $", "", re.sub(r"[ \n]+", " ", t.lower())).replace("ß", "ss")
+        return {t[k : k + 8] for k in range(max(1, len(t) - 7))}
+
+    want = {(q, i, j) for q, r, i in lists for p, s, j in lists if p == q and r < s and len(cut(texts[i]) & cut(texts[j])) >= 0.8 * len(cut(texts[i]) | cut(texts[j]))}
+    assert want and {tuple(r) for r in got.collect()} == want
+
+
 def ranked(spark, scores):
     return spark.createDataFrame([(1, i, float(s)) for i, s in scores], "qid bigint, id bigint, score double")
 

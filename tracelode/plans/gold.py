@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
-from tracelode.operators import chunking, gold, measures, ranking, records, sessions
+from tracelode.operators import chunking, copies, gold, measures, ranking, records, sessions
 from tracelode.plans import search
 from tracelode.plans.catalog import query
 from tracelode.plans.search import BM25, NORM, SHINGLES
@@ -124,12 +124,7 @@ def ranked_files(spark, d):
 def folded_files(spark, d):
     """The same with a file whose best text is a near-copy of a better-ranked file's folded into it."""
     ranked = cut(ranked_files(spark, d))
-    texts = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text").join(ranked.select("id").distinct(), "id", "left_semi")
-    sets = texts.select("id", F.transform(T.shingles("text"), lambda x: F.xxhash64(x)).alias("s"))
-    rows = cut(ranked.select("qid", "rank", "id").join(sets, "id"))
-    # within one list of at most thirty
-    a, b = (rows.select("qid", F.col("rank").alias(f"r{x}"), F.col("id").alias(n), F.col("s").alias(f"s{x}")) for x, n in (("a", "leader"), ("b", "follower")))
-    near = a.join(b, "qid").where("ra < rb and least(size(sa), size(sb)) >= 0.8 * greatest(size(sa), size(sb))").where(T.alike(F.col("sa"), F.col("sb"))).select("qid", "leader", "follower").distinct()
+    near = copies.near_in_lists(ranked, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
     folded = ranking.fold_copies(ranked.select("qid", "id", F.col("rank").cast("int").alias("rank")), near)
     return folded.join(ranked.select("qid", "id", "source"), ["qid", "id"]).select("qid", "source", "id", "rank", "leader")
 
