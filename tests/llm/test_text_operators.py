@@ -214,3 +214,51 @@ def test_posteriors_are_forward_backward():
         total += w
         on = [x + w * e for x, e in zip(on, events)]
     assert sentences.posteriors(odds, gaps) == pytest.approx([x / total for x in on])
+
+
+def _cut_at(text, model):
+    at, out = 0, []
+    for e in sentences.ends(text, model):
+        out.append(text[at:e].strip())
+        at = e
+    return out
+
+
+def _fitted(spark, texts):
+    return sentences.fitted(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+
+
+def test_every_gap_can_be_a_boundary(spark):
+    rng = random.Random(2)
+    w = lambda: rng.choice(WORDS)
+    chat = _fitted(spark, [f"hello {w()} keeps {w()} with {w()} see you tomorrow" for _ in range(300)])
+    parts = ["hello mirror keeps river with kernel see you tomorrow", "hello ledger keeps mirror with river see you tomorrow"]
+    assert _cut_at(" ".join(parts), chat) == parts
+    assert len(_cut_at(" ".join(parts * 500), chat)) == 1_000
+    letters = "山水火木金土日月天地人口手足"
+    zh = _fitted(spark, ["你" + "".join(rng.choices(letters, k=9)) + "吧" for _ in range(300)])
+    assert _cut_at("你山水火木吧你日月天地吧", zh) == ["你山水火木吧", "你日月天地吧"]
+
+
+def test_what_goes_on_after_a_quotation_is_learned(spark):
+    rng = random.Random(3)
+    w = lambda: rng.choice(WORDS).title()
+    texts = [f"Bo {w()} tegol. “Xu {w()} lo?” {w()} tegol. Na {w()} lo? Bo {w()} tegol.\n\nNa {w()} lo?" for _ in range(300)]
+    got = _cut_at("Bo River tegol. “Xu Kernel lo?” Mirror tegol. Na River lo? Bo Kernel tegol.", _fitted(spark, texts))
+    assert got == ["Bo River tegol.", "“Xu Kernel lo?” Mirror tegol.", "Na River lo?", "Bo Kernel tegol."]
+
+
+def test_gaps_side_by_side_have_the_posteriors_of_each_chain(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lengths = np.array([3, 0, 70, 1, 12, 40])
+    odds, apart = rng.normal(-1, 3, lengths.sum()), rng.integers(0, 4, lengths.sum())
+    want, at = [], 0
+    for n in lengths:
+        want += sentences.posteriors(odds[at : at + n].tolist(), apart[at : at + n].tolist())
+        at += n
+    assert sentences._chances(odds, apart, lengths) == pytest.approx(want)
+    monkeypatch.setattr(sentences, "LONG", 20)
+    monkeypatch.setattr(sentences, "SIDE", 2)
+    assert sentences._chances(odds, apart, lengths) == pytest.approx(want)
